@@ -88,8 +88,12 @@ def without_recurring(docs: DataFrame, text_col: str = "text", min_docs: int = M
     keyed = docs.withColumn(k1, text_keys(text)[0]).withColumn(k2, text_keys(text)[1])
     found = keyed.join(cuts, (F.col(k1) == F.col(f"{gone}.k1")) & (F.col(k2) == F.col(f"{gone}.k2")), "left")
     parts = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(f"{gone}.gone"))
-    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+
+    def rest(ls: Column) -> Column:  # ls is bound once: a lambda evaluates what it refers to for every element
+        stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(f"{gone}.gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
+
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.get(F.transform(F.array(parts), rest), F.lit(0)))
     more = []
     if counts:
         more = [F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias(free_name(docs, "n_lines")), F.coalesce(F.size(F.col(f"{gone}.gone")), F.lit(0)).cast("long").alias(free_name(docs, "n_dropped"))]
