@@ -34,13 +34,13 @@ BITS = 18
 ROUNDS, SHARE, SURE = 3, 0.1, 0.95
 #: Every so many of the labelled documents are held out for calibration.
 HELD_OUT = 5
-#: Sampled documents that a hashed feature must be in.
-LEAST_DOCS = 3
+#: Least G statistic of a hashed feature against the labels (chance exceeds it once in 100,000).
+LEAST_G = 20.0
 
 UPPER, DIGITS = bytes(range(65, 91)), b"0123456789"
 MARKS = ("low_quality", "toxic")
-N_META = 48
-SHAPES = 9
+N_META = 52
+SHAPES = 12
 
 
 def hashed(word: bytes) -> tuple[int, ...]:
@@ -72,6 +72,9 @@ def metadata(text: str | None, source: str | None, lang: str | None) -> np.ndarr
         data.count(b"\n") / n,
         len(set(words)) / max(1, len(words)) * math.log1p(len(words)) / 5,
         len(data) / max(1, len(words)) / 10,
+        sum(map(bytes.__eq__, words, words[1:])) / max(1, len(words)),
+        sum(map(bytes.isupper, words)) / max(1, len(words)),
+        (n - len(data.translate(None, b"#*$%&|<>!"))) / max(1, len(words)),
     )
     for k, value in enumerate((source, lang)):
         at = xxhash.xxh32_intdigest(b"-" if value is None else b"+" + str(value).encode(), k) % ((N_META - SHAPES) // 2)
@@ -111,7 +114,7 @@ class Dense:
         return self.x.T @ e
 
 
-def logistic(rows: Rows | Dense, y: np.ndarray, width: int, l2: float, steps: int, rate: float, usable: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def logistic(rows: Rows | Dense, y: np.ndarray, width: int, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
     """Weights and intercept, by Adam on all rows at once; both classes weigh the same in sum, up to four times."""
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     weight = np.where(y == 1, min(4.0, 0.5 / share), min(4.0, 0.5 / (1 - share)))
@@ -120,8 +123,6 @@ def logistic(rows: Rows | Dense, y: np.ndarray, width: int, l2: float, steps: in
     for t in range(1, steps + 1):
         e = (sigmoid(rows.dot(w) + b) - y) * weight / len(y)
         g = rows.back(e, width) + l2 * w
-        if usable is not None:
-            g = g * usable
         gb = e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -129,6 +130,20 @@ def logistic(rows: Rows | Dense, y: np.ndarray, width: int, l2: float, steps: in
     return w, b
 
 
+def informative(rows: list[np.ndarray], y: np.ndarray, width: int) -> np.ndarray:
+    """Which buckets tell the classes apart, by the likelihood-ratio (G) test of presence against class.
+
+    Most words are in few documents and say nothing; their weights would only add noise that grows with a text's length.
+    """
+    in_1, in_0 = (np.bincount(np.concatenate([r for r, t in zip(rows, y) if t == k] or [np.zeros(0, np.int32)]), minlength=width).astype(float) for k in (1, 0))
+    n_1, n_0 = float((y == 1).sum()), float((y == 0).sum())
+    seen, n, g = in_1 + in_0, n_1 + n_0, np.zeros(width)
+    for here, docs in ((in_1, n_1), (in_0, n_0)):
+        for observed, expected in ((here, seen * docs / n), (docs - here, (n - seen) * docs / n)):
+            g += 2 * observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12))
+    return g >= LEAST_G
+
+
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and intercept that calibrate log-odds z; smoothed targets, damped Newton."""
     pos, neg = (y == 1).sum(), (y == 0).sum()
@@ -160,21 +175,21 @@ class Mark:
 
 
 def co_train(words: list[np.ndarray], metas: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> Mark:
-    """y: 1, 0, or -1 for the pool. The pool's own labels are never used."""
+    """y: 1, 0, or -1 for the pool. The pool's own labels are never used. Words that do not tell the classes apart have weight 0."""
     width = 1 << BITS
     none = Mark(None, np.zeros(N_META), -30.0)
     known = np.flatnonzero(y >= 0)
     held, train, pool = known[::HELD_OUT], np.setdiff1d(known, known[::HELD_OUT]), np.flatnonzero(y < 0)
     if any(len(set(y[x].tolist())) < 2 for x in (held, train)):
         return none
-    usable = (np.bincount(np.concatenate(words), minlength=width) >= LEAST_DOCS).astype(float)
     x = np.array(metas, np.float64)
     mean, sd = x[:, :SHAPES].mean(0), x[:, :SHAPES].std(0) + 1e-6
     x[:, :SHAPES] = (x[:, :SHAPES] - mean) / sd
     extra: list[dict[int, int]] = [{}, {}]  # by view: what the other view is sure of
     for turn in range(rounds + 1):
         sets = [(np.concatenate([train, np.array(sorted(e), np.int64)]), np.concatenate([y[train], [e[i] for i in sorted(e)]]).astype(float)) for e in extra]
-        wc, bc = logistic(Rows([words[i] for i in sets[0][0]]), sets[0][1], width, 1e-4, 120, 0.05, usable)
+        use = informative([words[i] for i in sets[0][0]], sets[0][1], width)
+        wc, bc = logistic(Rows([words[i][use[words[i]]] for i in sets[0][0]]), sets[0][1], width, 1e-4, 150, 0.1)
         wm, bm = logistic(Dense([x[i] for i in sets[1][0]]), sets[1][1], N_META, 1e-3, 300, 0.05)
         if turn == rounds or not len(pool):
             break
