@@ -41,7 +41,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]
 
 #: Least weight of a tag or word, so that words stay positive and tags negative whatever the labels say.
 LEAST = 0.05
-PRIORS = {"word": 1.0, "link": -0.5, "boiler": -2.0}
+PRIORS = {"word": 1.0, "link": -0.5, "boiler": -2.0, "outside": -1.0, "inner": 0.0}
 #: How many labelled pages weights are fitted on at most.
 LABELLED = 2000
 
@@ -60,13 +60,27 @@ def is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, inside the labelled content): kind "word", "link" or "boiler" with a run of text; "tag" with a tag's name."""
+def label(page: str) -> str | None:
+    """The element that marks a page's content, if it has one."""
+    low = page.lower()
+    return next((t for t in ("article", "main") if re.search(rf"<{t}[\s>]", low)), None)
+
+
+def tokens(page: str, mark: str | None) -> Iterator[tuple[str, str, bool]]:
+    """(kind, value, inside the marked content) of runs of text, and kind "tag" with a tag's name.
+
+    Text is a "word" run in the content (anywhere on a page without a mark), "link" in a link outside it, "outside" beyond
+    it, "boiler" in boilerplate, and "inner" in boilerplate within the content, which counts nothing either way.
+    """
     stack: list[tuple[str, bool]] = []
     at, end, boiler, content, links = 0, len(page), 0, 0, 0
 
     def text(piece: str) -> tuple[str, str, bool]:
-        return ("boiler" if boiler else "link" if links else "word", entities.unescape(piece), content > 0)
+        kind = ("inner" if content else "boiler") if boiler else "word" if content else "link" if links else "outside" if mark else "word"
+        return (kind, entities.unescape(piece), content > 0)
+
+    def tag_token(name: str) -> tuple[str, str, bool]:
+        return ("inner", " ", True) if boiler and content else ("tag", name, content > 0)
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -85,7 +99,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if not closing and name in RAW_END and not attributes.rstrip().endswith("/"):
             ended = RAW_END[name].search(page, at)
             at = ended.end() if ended else end
-            yield ("tag", "raw", content > 0)
+            yield tag_token("raw")
             continue
         if not closing:
             if name not in VOID and not attributes.rstrip().endswith("/"):
@@ -101,15 +115,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 bad = is_boilerplate(name, attributes, content > 0)
                 stack.append((name, bad))
                 boiler, links = boiler + bad, links + (name == "a")
-                content += name in ("article", "main")
-            yield ("tag", name, content > 0)
+                content += name == mark
+            yield tag_token(name)
             continue
-        yield ("tag", "/" + name, content > 0)
+        yield tag_token("/" + name)
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
                 for tag, bad in stack[k:]:
                     boiler, links = boiler - bad, links - (tag == "a")
-                    content -= tag in ("article", "main")
+                    content -= tag == mark
                 del stack[k:]
                 break
 
@@ -118,12 +132,10 @@ def counted(pages: Iterable[str]) -> Counter:
     """(feature, inside) to its number, of pages that mark their content; features are kinds of words and names of tags."""
     seen: Counter = Counter()
     for page in pages:
-        page_seen, marked = Counter(), False
-        for kind, value, inside in tokens(page):
-            marked = marked or inside
-            page_seen[(value if kind == "tag" else kind, inside)] += 1 if kind == "tag" else len(value.split())
-        if marked:
-            seen.update(page_seen)
+        if mark := label(page):
+            for kind, value, inside in tokens(page, mark):
+                if kind != "inner":
+                    seen[(value if kind == "tag" else kind, inside)] += 1 if kind == "tag" else len(value.split())
     return seen
 
 
@@ -137,16 +149,16 @@ def fitted(seen: Counter) -> dict[str, float]:
         ratio = math.log((seen[(feature, True)] + 0.5) / (totals[0] + 1)) - math.log((seen[(feature, False)] + 0.5) / (totals[1] + 1))
         if feature == "word":
             weights[feature] = max(LEAST * 4, ratio)
-        elif feature in ("link", "boiler"):
-            weights[feature] = min(-LEAST * 4, ratio) if feature == "boiler" else min(PRIORS["link"], ratio)
+        elif feature in PRIORS:
+            weights[feature] = min(PRIORS[feature], ratio)
         else:
             weights[feature] = max(-2.0, min(-LEAST, ratio))
     return weights
 
 
-def best_region(page: str, weights: dict[str, float]) -> list[tuple[str, str]]:
+def best_region(page: str, weights: dict[str, float], mark: str | None = None) -> list[tuple[str, str]]:
     """(kind, value) of the region with the highest total, found in one scan; the earliest of equals."""
-    sequence = [(k, v) for k, v, _ in tokens(page)]
+    sequence = [(k, v) for k, v, _ in tokens(page, mark)]
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, value) in enumerate(sequence):
         total += weights.get(value, -LEAST) if kind == "tag" else weights[kind] * len(value.split())
@@ -161,11 +173,14 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text of one whole page."""
     if not page:
         return ""
-    out = []
-    for kind, value in best_region(page, weights or PRIORS):
+    out, mark = [], label(page)
+    region = best_region(page, weights or PRIORS, mark)
+    if mark and not any(k == "word" for k, _ in region):  # the mark is in boilerplate only
+        region = best_region(page, weights or PRIORS)
+    for kind, value in region:
         if kind in ("word", "link"):
             out.append(value)
-        elif kind == "tag" and value.lstrip("/") not in INLINE:
+        elif kind == "inner" or kind == "tag" and value.lstrip("/") not in INLINE:
             out.append(" ")
     return " ".join("".join(out).split())
 
