@@ -117,7 +117,8 @@ def links(distinct: DataFrame, most: int = 2, hot: int = HOT_ANCHOR) -> DataFram
     met_before = F.lit(False)  # in an earlier block of a divided anchor
     for k, (at, n) in enumerate(BLOCKS[:-1]):
         met_before = met_before | ((F.col("x.cell") >= (k + 1) * (1 << 12)) & (F.shiftrightunsigned(other, at).bitwiseAND(F.lit((1 << n) - 1)) == 0))
-    first_half = (F.col("x.side") == 0) | (F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) > 1)
+    # Pairs a bit further apart can meet too; each pair counts in the half that the pigeonhole names.
+    first_half = (F.col("x.side") == 0) == (F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1)
     at_home = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.cell") == F.col("y.cell"))
     return x.join(y, at_home & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(differ) <= most) & first_half & ~met_before).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
