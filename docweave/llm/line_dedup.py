@@ -27,6 +27,8 @@ MIN_WORDS = 3
 MIN_DOCS = 6
 CONSTANT = 0.8
 SIMILAR = 0.6
+#: Shares into which the lines of a leaf are dealt when they meet its template.
+SALTS = 16
 
 
 def masked(line: Column) -> Column:
@@ -50,9 +52,8 @@ def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return flat.withColumn("line", F.xxhash64("m")).withColumn("path", F.xxhash64("n", F.substring_index("m", " ", LEAD)))
 
 
-def recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(line): hashes of the masked lines that recur by themselves or through their leaf's template."""
-    flat = lines(docs, text_col)
+def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(line): hashes of the masked lines that recur by themselves or through their leaf's template; flat is lines() without m."""
     in_doc = flat.groupBy("path", "line", "k1").agg(F.min("around").alias("around"))
     in_place = in_doc.groupBy("path", "line", "around").agg(F.count("*").alias("docs"))
     per_line = in_place.groupBy("path", "line").agg(F.sum("docs").alias("docs"), F.count("*").alias("places"))
@@ -63,20 +64,24 @@ def recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS)
     alone = busy.filter(recurs).select("line")
 
     mixed = staged(busy.filter("leaf_lines > 1").select("path", "line"), "leaf_lines")
-    texts = flat.join(mixed, ["path", "line"]).groupBy("path", "line").agg(F.max("m").alias("m"))
-    members = staged(texts.join(busy.select("path", "line", "docs", "places", "leaf_docs"), ["path", "line"]).withColumn("words", F.split("m", " ")).drop("m"), "leaf_texts")
+    texts = lines(docs, text_col).join(mixed, ["path", "line"]).groupBy("path", "line").agg(F.max("m").alias("m"))
+    salt = F.pmod("line", F.lit(SALTS)).alias("salt")
+    members = staged(texts.join(busy.select("path", "line", "docs", "places", "leaf_docs"), ["path", "line"]).select("*", F.split("m", " ").alias("words"), salt).drop("m"), "leaf_texts")
     tokens = members.select("path", "docs", "leaf_docs", F.posexplode("words").alias("at", "word"))
     votes = tokens.groupBy("path", "at", "word").agg(F.sum("docs").alias("docs"), F.max("leaf_docs").alias("leaf_docs"))
     constants = votes.filter(F.col("docs") >= CONSTANT * F.col("leaf_docs")).groupBy("path", "at").agg(F.max(F.struct("docs", "word")).alias("top"))
     templates = constants.groupBy("path").agg(F.collect_list(F.struct("at", F.col("top.word").alias("word"))).alias("template"))  # as long as the line
-    fit = members.join(templates, "path").filter(F.size(F.filter("template", lambda t: F.get("words", t["at"]) == t["word"])) >= SIMILAR * F.size("words"))
+    templates = templates.select("path", "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))  # a leaf may hold a third of all lines
+    fit = members.join(templates, ["path", "salt"]).filter(F.size(F.filter("template", lambda t: F.get("words", t["at"]) == t["word"])) >= SIMILAR * F.size("words"))
+    fit = staged(fit.select("path", "line", "docs", "places"), "leaf_members")
     grown = fit.groupBy("path").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places")).filter(recurs).select("path")
     return staged(alone.union(fit.join(grown, "path", "left_semi").select("line")).distinct(), "recurring")
 
 
 def dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(k1, k2, gone): per text, the numbers of the lines to drop."""
-    hit = lines(docs, text_col).join(recurring(docs, text_col, min_docs), "line", "left_semi")
+    """(k1, k2, gone): per text, the numbers of the lines to drop. Texts are cut into lines once, and hashes of those kept."""
+    flat = staged(lines(docs, text_col).select("k1", "k2", "at", "line", "path", "around"), "lines")
+    hit = flat.join(recurring(docs, flat, text_col, min_docs), "line", "left_semi")
     return staged(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "dropped")  # as many as the text has lines
 
 
