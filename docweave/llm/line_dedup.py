@@ -54,7 +54,7 @@ def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(line): hashes of the masked lines that recur by themselves or through their leaf's template; flat is lines() without m."""
-    in_doc = flat.groupBy("path", "line", "k1").agg(F.min("around").alias("around"))
+    in_doc = flat.groupBy("path", "line", "k1").agg(F.min_by("around", "at").alias("around"))  # where the text has it first
     in_place = in_doc.groupBy("path", "line", "around").agg(F.count("*").alias("docs"))
     per_line = in_place.groupBy("path", "line").agg(F.sum("docs").alias("docs"), F.count("*").alias("places"))
     leaves = per_line.groupBy("path").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).filter(F.col("leaf_docs") >= min_docs)

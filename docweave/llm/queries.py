@@ -64,8 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP4_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
-h AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+u AS (SELECT r, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT r, i, a, lead(a) OVER v AS b, lead(a, 2) OVER v AS c FROM u WINDOW v AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL),
 p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
 m AS (SELECT w.r, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
@@ -79,5 +80,27 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+OP7_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS k, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT k, unnest(ls) AS l, unnest(range(0, len(ls))) AS pos FROM t),
+f AS (SELECT k, pos, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM e),
+c AS (SELECT k, pos, m, lag(m) OVER w AS a, lead(m) OVER w AS b, string_split(m, ' ') AS ws FROM f WINDOW w AS (PARTITION BY k ORDER BY pos)),
+g AS (SELECT k, pos, m, ws, CASE WHEN a IS NULL THEN [b] WHEN b IS NULL THEN [a] ELSE [a, b] END AS around, len(ws) || ' ' || array_to_string(ws[1:3], ' ') AS path FROM c WHERE len(ws) >= 3),
+o AS (SELECT path, m, k, arg_min(around, pos) AS around FROM g GROUP BY path, m, k),
+p AS (SELECT path, m, count(*) AS docs, count(DISTINCT around) AS places FROM o GROUP BY path, m),
+v AS (SELECT path, sum(docs) AS leaf_docs, count(*) AS leaf_lines FROM p GROUP BY path HAVING sum(docs) >= 6),
+y AS (SELECT p.*, leaf_docs, leaf_lines, string_split(m, ' ') AS ws FROM p JOIN v USING (path)),
+u AS (SELECT path, m, docs, leaf_docs, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM y WHERE leaf_lines > 1),
+q AS (SELECT path, i, word FROM u GROUP BY path, i, word HAVING sum(docs) >= CAST(0.8 AS DOUBLE) * max(leaf_docs)),
+n AS (SELECT u.path, u.m, count(*) AS hits FROM u JOIN q ON u.path = q.path AND u.i = q.i AND u.word = q.word GROUP BY u.path, u.m),
+s AS (SELECT y.path, y.m, docs, places FROM y JOIN n ON y.path = n.path AND y.m = n.m WHERE hits >= CAST(0.6 AS DOUBLE) * len(ws)),
+w AS (SELECT path FROM s GROUP BY path HAVING sum(docs) >= 6 AND 2 * sum(places) > sum(docs)),
+r AS (SELECT m FROM y WHERE docs >= 6 AND 2 * places > docs UNION SELECT m FROM s WHERE path IN (SELECT path FROM w)),
+x AS (SELECT k, pos FROM g WHERE m IN (SELECT m FROM r)),
+z AS (SELECT e.k, coalesce(string_agg(l, chr(10) ORDER BY e.pos) FILTER (x.k IS NULL), '') AS kept, count(*) AS n_lines, count(x.k) AS n_dropped FROM e LEFT JOIN x ON e.k = x.k AND e.pos = x.pos GROUP BY e.k)
+SELECT doc_id, kept AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN z ON t.k = z.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL}
