@@ -18,9 +18,11 @@ def bm25(corpus: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, quer
     """
     q = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tx.words(F.col(query_text)))).alias("term"))
     vocabulary = q.select("term").distinct()
-    docs = corpus.select(F.col(doc_id).alias("doc"), tx.words(F.col(doc_text)).alias("ws")).withColumn("dl", F.size("ws")).filter("dl > 0")
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = docs.select("doc", "dl", F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi")
+    docs = corpus.select(F.col(doc_id).alias("doc"), tx.words(F.col(doc_text)).alias("ws"))
+    # Documents without words do not count; a filter on them would split every text once more.
+    n_words = F.nullif(F.size("ws"), F.lit(0))
+    stats = docs.agg(F.count(n_words).alias("n_docs"), F.avg(n_words).alias("avgdl"))
+    hits = docs.select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi")
     tf = hits.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n_docs")
