@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.operators import quality
+from docweave.operators import joins, quality
 from docweave.plans.registry import query, table
 
 
@@ -67,7 +67,5 @@ def span_breadth(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH t AS (SELECT source, count(*) AS n, min(doc_id) AS first, median(n_chars) AS mid FROM documents GROUP BY source)
 SELECT source, n, first, round(mid, 6) AS mid, row_number() OVER (ORDER BY mid, source) AS place FROM t""")
 def tab_median_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.median("n_chars").alias("m"))
-    return t.select("source", "n", "first", F.round("m", 6).alias("mid"), F.row_number().over(Window.orderBy("m", "source")).cast("long").alias("place"))
+    return joins.placed(t, ["m", "source"], "place").select("source", "n", "first", F.round("m", 6).alias("mid"), "place")
