@@ -159,16 +159,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(prints, "id").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, least: float | None = None) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id (null last), then the smallest text hash.
 
-    Of rows that are equal in id and text, one stays.
+    Linked are fingerprints of shingles of 3 words that differ in 2 bits or fewer; with least, texts whose sets of shingles
+    of width words have a Jaccard similarity of least or more, exactly. Of rows that are equal in id and text, one stays.
     """
     key = free_name(docs, "text_key")
-    prints = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), fingerprints(F.col(text_col)).alias("fp")), "prints")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "fingerprints")
-    root = components(links(distinct.select("fp")))
+    row = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key")]
+    if least is None:
+        if width != 3:
+            raise ValueError("fingerprints are of 3 words")
+        prints = staged(docs.select(*row, fingerprints(F.col(text_col)).alias("fp")), "prints")
+        distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "fingerprints")
+        root = components(links(distinct.select("fp")))
+    else:
+        from docweave.llm import near_copies
+
+        prints = docs.select(*row, near_copies.hashed(F.col(text_col), width).alias("hs")).withColumn("fp", F.xxhash64("hs"))
+        prints = staged(prints.withColumn("n", F.size("hs")), "prints")
+        distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least"), F.count("*").alias("rows")), "fingerprints")
+        one = distinct.select(F.col("least.id").alias("i"), F.col("least.key").alias("k"), F.col("fp").alias("f"))
+        sets = prints.join(one, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("fp") == F.col("f")), "left_semi")
+        root = near_copies.roots(sets.select(F.col("fp").alias("skey"), "n", "hs"), least)
     best = distinct.join(root, distinct.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     best = best.select(F.col("least.id").alias("best_id"), F.col("least.key").alias("best_key"))
     kept = docs.withColumn(key, F.xxhash64(F.col(text_col)))
