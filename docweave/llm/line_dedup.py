@@ -7,6 +7,11 @@ their places belong to it. A template, or a line by itself, recurs if it is in a
 of those have different neighbouring lines around it; all its lines are dropped. The second condition tells boilerplate
 from lines that recur only because whole documents are copies.
 
+With whole=True another rule finds what these miss. A line or template also recurs if it is in MIN_DOCS independent
+documents: in an independent document half of the words or more lie outside the lines that MIN_DOCS documents have, and
+documents with the same smallest hash among those other lines count once. So copies of a document do not count, neighbours
+do not matter, and a hot group of copies does not outvote others.
+
 Only DataFrame functions are used. Lines are counted per document, then per neighbourhood, then per line, each with
 map-side aggregation, so a line in a third of all documents is never gathered in one task. Decisions go back to documents
 by the hash of their text, as lines dropped depend on the text only.
@@ -52,7 +57,18 @@ def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return flat.withColumn("line", F.xxhash64("m")).withColumn("path", F.xxhash64("n", F.substring_index("m", " ", LEAD)))
 
 
-def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def independent(flat: DataFrame, busy: DataFrame, min_docs: int) -> DataFrame:
+    """(path, line, own): lines of busy leaves, with the smallest hash of the lines that only few have, by independent document."""
+    often = busy.filter(F.col("docs") >= min_docs).select("line", F.lit(True).alias("often"))
+    marked = flat.join(often, "line", "left")
+    alone = F.col("often").isNull()
+    per_doc = marked.groupBy("k1").agg(F.sum("n").alias("words"), F.sum(F.when(alone, F.col("n"))).alias("own_words"), F.min(F.when(alone, F.col("line"))).alias("own"))
+    apart = staged(per_doc.filter(2 * F.col("own_words") >= F.col("words")).select("k1", "own"), "independent")
+    held = flat.join(busy.select("line"), "line", "left_semi").select("path", "line", "k1")
+    return staged(held.join(apart, "k1").select("path", "line", "own").distinct(), "independent_lines")
+
+
+def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
     """(line): hashes of the masked lines that recur by themselves or through their leaf's template; flat is lines() without m."""
     in_doc = flat.groupBy("path", "line", "k1").agg(F.min_by("around", "at").alias("around"))  # where the text has it first
     in_place = in_doc.groupBy("path", "line", "around").agg(F.count("*").alias("docs"))
@@ -75,21 +91,26 @@ def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs
     fit = members.join(templates, ["path", "salt"]).filter(F.size(F.filter("template", lambda t: F.get("words", t["at"]) == t["word"])) >= SIMILAR * F.size("words"))
     fit = staged(fit.select("path", "line", "docs", "places"), "leaf_members")
     grown = fit.groupBy("path").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places")).filter(recurs).select("path")
-    return staged(alone.union(fit.join(grown, "path", "left_semi").select("line")).distinct(), "recurring")
+    found = alone.union(fit.join(grown, "path", "left_semi").select("line"))
+    if whole:
+        apart = independent(flat, busy, min_docs)
+        enough = F.col("documents") >= min_docs
+        found = found.union(apart.groupBy("line").agg(F.count("*").alias("documents")).filter(enough).select("line"))
+    return staged(found.distinct(), "recurring")
 
 
-def dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
     """(k1, k2, gone): per text, the numbers of the lines to drop. Texts are cut into lines once, and hashes of those kept."""
-    flat = staged(lines(docs, text_col).select("k1", "k2", "at", "line", "path", "around"), "lines")
-    hit = flat.join(recurring(docs, flat, text_col, min_docs), "line", "left_semi")
+    flat = staged(lines(docs, text_col).select("k1", "k2", "at", "line", "path", "around", *(["n"] if whole else [])), "lines")
+    hit = flat.join(recurring(docs, flat, text_col, min_docs, whole), "line", "left_semi")
     return staged(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "dropped")  # as many as the text has lines
 
 
-def without_recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
+def without_recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False, whole: bool = False) -> DataFrame:
     """docs with the recurring lines cut out of the text; counts adds n_lines and n_dropped (free names)."""
     text = F.col(f"`{text_col}`")
     k1, k2, gone = (free_name(docs, x) for x in ("k1", "k2", "gone"))
-    cuts = dropped(docs, text_col, min_docs).select(F.struct("k1", "k2", "gone").alias(gone))
+    cuts = dropped(docs, text_col, min_docs, whole).select(F.struct("k1", "k2", "gone").alias(gone))
     keyed = docs.withColumn(k1, text_keys(text)[0]).withColumn(k2, text_keys(text)[1])
     found = keyed.join(cuts, (F.col(k1) == F.col(f"{gone}.k1")) & (F.col(k2) == F.col(f"{gone}.k2")), "left")
     parts = F.split(text, "\n")
