@@ -7,10 +7,12 @@ their places belong to it. A template, or a line by itself, recurs if it is in a
 of those have different neighbouring lines around it; all its lines are dropped. The second condition tells boilerplate
 from lines that recur only because whole documents are copies.
 
-With whole=True another rule finds what these miss. A line or template also recurs if it is in MIN_DOCS independent
+With whole=True two more rules find what these miss. First, a line or template also recurs if it is in MIN_DOCS independent
 documents: in an independent document half of the words or more lie outside the lines that MIN_DOCS documents have, and
 documents with the same smallest hash among those other lines count once. So copies of a document do not count, neighbours
-do not matter, and a hot group of copies does not outvote others.
+do not matter, and a hot group of copies does not outvote others. Second, a leaf has many templates: at each of STEPS a
+line's words that less than that share of its leaf has at their place (in MIN_DOCS documents at least) become fields; the
+lines with equal words elsewhere are a template, if words are left at SIMILAR of the places.
 
 Only DataFrame functions are used. Lines are counted per document, then per neighbourhood, then per line, each with
 map-side aggregation, so a line in a third of all documents is never gathered in one task. Decisions go back to documents
@@ -32,6 +34,8 @@ MIN_WORDS = 3
 MIN_DOCS = 6
 CONSTANT = 0.8
 SIMILAR = 0.6
+#: Shares of a leaf from which a word at its place is constant, in the templates of whole=True; 0 leaves MIN_DOCS documents.
+STEPS = (0.4, 0.2, 0.1, 0.05, 0.02, 0.01, 0.0)
 #: Shares into which the lines of a leaf are dealt when they meet its template.
 SALTS = 16
 
@@ -68,6 +72,19 @@ def independent(flat: DataFrame, busy: DataFrame, min_docs: int) -> DataFrame:
     return staged(held.join(apart, "k1").select("path", "line", "own").distinct(), "independent_lines")
 
 
+def templates_of_leaves(members: DataFrame, min_docs: int) -> DataFrame:
+    """(template, path, line): for each of STEPS the template of each line, if enough of its words are constant."""
+    tokens = members.select("path", "line", "docs", "leaf_docs", F.posexplode("words").alias("at", "word")).filter(F.col("at") >= LEAD)
+    votes = tokens.groupBy("path", "at", "word").agg(F.sum("docs").alias("votes")).filter(F.col("votes") >= min_docs)
+    often = tokens.join(votes, ["path", "at", "word"]).groupBy("path", "line").agg(F.map_from_entries(F.collect_list(F.struct("at", "votes"))).alias("votes"))
+    found = members.join(often, ["path", "line"], "left")
+    stepped = found.select("path", "line", "words", "votes", F.posexplode(F.array(*(F.lit(s) * F.col("leaf_docs") for s in STEPS))).alias("step", "least"))
+    constant = F.transform("words", lambda w, i: F.when((i < LEAD) | (F.coalesce(F.try_element_at(F.col("votes"), i), F.lit(0)) >= F.greatest("least", F.lit(1))), w))
+    shaped = stepped.select("path", "line", "step", constant.alias("shape")).filter(F.size(F.filter("shape", lambda w: w.isNotNull())) >= SIMILAR * F.size("shape"))
+    template = F.xxhash64("path", "step", F.transform("shape", lambda w: F.coalesce(w, F.lit("\n"))))  # no word has a line break
+    return staged(shaped.select(template.alias("template"), "path", "line"), "templates")
+
+
 def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
     """(line): hashes of the masked lines that recur by themselves or through their leaf's template; flat is lines() without m."""
     in_doc = flat.groupBy("path", "line", "k1").agg(F.min_by("around", "at").alias("around"))  # where the text has it first
@@ -96,6 +113,9 @@ def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs
         apart = independent(flat, busy, min_docs)
         enough = F.col("documents") >= min_docs
         found = found.union(apart.groupBy("line").agg(F.count("*").alias("documents")).filter(enough).select("line"))
+        made = templates_of_leaves(members, min_docs)
+        by_template = made.join(apart, ["path", "line"]).select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("documents"))
+        found = found.union(made.join(by_template.filter(enough), "template", "left_semi").select("line"))
     return staged(found.distinct(), "recurring")
 
 

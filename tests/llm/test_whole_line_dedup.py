@@ -44,3 +44,13 @@ def test_copies_stay_and_do_not_outvote(spark):
     got = cut(spark, copies + ["\n".join(b[:3] + ["", mark, ""] + b[3:]) for b in clean])
     assert got == [c.replace("\n" + mark, "") for c in copies] + ["\n".join(b[:3] + ["", ""] + b[3:]) for b in clean]
 
+
+def test_two_templates_in_a_leaf(spark):
+    word, sentence = sentences(33)
+    texts, want = [], []
+    for i in range(80):
+        body = [sentence() for _ in range(6)]
+        line = f"Posted by user {word()}{word()} " + ("on this very site" if i % 2 else "through our mobile app")
+        texts.append("\n".join(body[:3] + [line] + body[3:]))
+        want.append("\n".join(body))
+    assert cut(spark, texts) == want
