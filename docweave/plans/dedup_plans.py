@@ -69,6 +69,21 @@ def dup_components(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.components(pairs.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("root").alias("component"))
 
 
+@query()
+def dup_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document: its class, over copies and pairs of 0.8 or more in any language, and the other documents that it equals or is paired with."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = d.join(first.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.lit("").alias("block"), tx.words(F.col("text"), 1).alias("ws"))
+    pairs = dedup.written(dedup.shingle_pairs(reps, "doc_id", "block", fives("ws")).select("a", "b"))
+    sizes = first.select(F.col("rep").alias("b"), "copies")
+    linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
+    roots = dedup.components(pairs).select(F.col("node").alias("rep"), "root")
+    known = first.join(linked, "rep", "left").join(roots, "rep", "left")
+    classes = known.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return d.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "n_links")
+
+
 @query("""WITH l AS (SELECT label, count(*) AS n FROM (SELECT string_split(p_type, ' ')[1] AS label FROM part UNION ALL SELECT p_type FROM part) GROUP BY label),
 m AS (SELECT l.label, l.n, coalesce((SELECT x.label FROM l x WHERE contains(x.label, l.label) AND length(x.label) > length(l.label) ORDER BY length(x.label), x.label LIMIT 1), l.label) AS merged FROM l) SELECT label, n, merged FROM m""")
 def label_merge(spark: SparkSession, sf: str) -> DataFrame:
