@@ -51,6 +51,18 @@ def cosine_scores(vectors: DataFrame, vec_id: str, vec: str, queries: DataFrame,
     return v.crossJoin(q).filter(F.col("query") != F.col("doc")).select("query", "doc", F.round(tx.cosine(F.col("v"), F.col("qv")), 6).alias("score"))
 
 
+def term_cosine(corpus: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str) -> DataFrame:
+    """(query, doc, score): exact cosine of the word counts of whole texts, for every pair with a common word."""
+
+    def vectors(df: DataFrame, id_col: str, text: str, name: str) -> tuple[DataFrame, DataFrame]:
+        tf = df.select(F.col(id_col).alias(name), F.explode(tx.words(F.col(text))).alias("term")).groupBy(name, "term").agg(F.count("*").alias(f"tf_{name}"))
+        return tf, tf.groupBy(name).agg(F.sqrt(F.sum(F.col(f"tf_{name}") * F.col(f"tf_{name}"))).alias(f"norm_{name}"))
+
+    (q, q_norm), (d, d_norm) = vectors(queries, query_id, query_text, "query"), vectors(corpus, doc_id, doc_text, "doc")
+    dots = q.join(d, "term").groupBy("query", "doc").agg(F.sum(F.col("tf_query") * F.col("tf_doc")).alias("dot"))
+    return dots.join(q_norm, "query").join(d_norm, "doc").select("query", "doc", F.round(F.col("dot") / (F.col("norm_query") * F.col("norm_doc")), 6).alias("score"))
+
+
 def hybrid(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
     """Union of two ranked lists (query, doc, rank): the first list's entries come first, a doc counts once, at most `most` stay."""
     both = first.select("query", "doc", F.col("rank").alias("first_rank"), F.lit(None).cast("int").alias("second_rank")).unionByName(second.select("query", "doc", F.lit(None).cast("int").alias("first_rank"), F.col("rank").alias("second_rank")))

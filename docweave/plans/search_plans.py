@@ -83,6 +83,14 @@ def hybrid_union(spark: SparkSession, sf: str) -> DataFrame:
     return search.hybrid(first, second, 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank")
 
 
+@query()
+def hybrid_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """D04 over whole texts: best by the cosine of word counts first, then best by BM25, without score fusion."""
+    first = search.term_cosine(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+    both = search.hybrid(search.top_k(first, "query", "score", "doc", 5), search.top_k(scores(spark, sf), "query", "score", "doc", 5), 10)
+    return both.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank")
+
+
 GRAMS6 = "CASE WHEN length(s) >= 6 THEN list_distinct(list_transform(range(1, length(s) - 4), lambda i: substring(s, i, 6))) WHEN length(s) > 0 THEN [s] ELSE [] END"
 
 
