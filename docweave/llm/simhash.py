@@ -179,10 +179,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         prints = docs.select(*row, near_copies.hashed(F.col(text_col), width).alias("hs")).withColumn("fp", F.xxhash64("hs"))
         prints = staged(prints.withColumn("n", F.size("hs")), "prints")
-        distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least"), F.count("*").alias("rows")), "fingerprints")
-        one = distinct.select(F.col("least.id").alias("i"), F.col("least.key").alias("k"), F.col("fp").alias("f"))
-        sets = prints.join(one, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("fp") == F.col("f")), "left_semi")
-        root = near_copies.roots(sets.select(F.col("fp").alias("skey"), "n", "hs"), least)
+        distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "fingerprints")
+        root = near_copies.roots(prints.select(F.col("fp").alias("skey"), "n", "hs"), least)
     best = distinct.join(root, distinct.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     best = best.select(F.col("least.id").alias("best_id"), F.col("least.key").alias("best_key"))
     kept = docs.withColumn(key, F.xxhash64(F.col(text_col)))
