@@ -1,25 +1,24 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line's words that hold a digit are variable fields and become <*>. The tree has two levels: number of words, then the
-first LEAD words; a leaf holds the lines that agree in both. A leaf's template has a constant at every place where one
-word makes up CONSTANT of the leaf (weighted by documents) and a field elsewhere; lines that agree with it at SIMILAR of
-their places belong to it. A template, or a line by itself, recurs if it is in at least MIN_DOCS documents and over half
-of those have different neighbouring lines around it; all its lines are dropped. The second condition tells boilerplate
-from lines that recur only because whole documents are copies.
-
-With whole=True two more rules find what these miss. First, a line or template also recurs if it is in MIN_DOCS independent
-documents: in an independent document half of the words or more lie outside the lines that MIN_DOCS documents have, and
-documents with the same smallest hash among those other lines count once. So copies of a document do not count, neighbours
-do not matter, and a hot group of copies does not outvote others. Second, a leaf has many templates: at each of STEPS a
-line's words that less than that share of its leaf has at their place (in MIN_DOCS documents at least) become fields; the
-lines with equal words elsewhere are a template, if words are left at SIMILAR of the places.
-
-Only DataFrame functions are used. Lines are counted per document, then per neighbourhood, then per line, each with
-map-side aggregation, so a line in a third of all documents is never gathered in one task. Decisions go back to documents
-by the hash of their text, as lines dropped depend on the text only.
+first LEAD words; a leaf holds the lines that agree in both. A leaf has many templates: at each of STEPS a line's words
+that less than that share of the leaf has at their place (in MIN_DOCS documents at least) become fields; the lines with
+equal words elsewhere are a template, if words are left at SIMILAR of the places.
+
+A line or a template recurs, and all its lines are dropped, if it is in MIN_DOCS independent documents. That tells
+boilerplate, in blocks of any length, from lines that recur only because whole documents are copies. A line is a
+document's own if its leaf has no line that MIN_DOCS documents share; a changed line of a copy is mostly not, as the
+line it was stands in the same leaf. A document is independent if an OWN-th of its words are in own lines, and documents
+with the same longest own line (the first of these) count once. So copies do not count, and a hot group of copies does
+not outvote others.
+
+Only DataFrame functions are used. Texts are cut into lines once. Lines are counted per document, then per line, each
+with map-side aggregation, so a line in a third of all documents is never gathered in one task. Decisions go back to
+documents by the hash of their text, as lines dropped depend on the text only.
 
 Defined cases: a null text stays null and has no lines; lines with fewer than MIN_WORDS words are never dropped; an empty
-text stays empty; rows with equal text are one document in all counts; a document may lose all its lines.
+text stays empty; rows with equal text are one document in all counts; a document may lose all its lines; a line stays if
+all its documents but MIN_DOCS are boilerplate for more than OWN - 1 parts of OWN; a template needs constant leading words.
 """
 
 from __future__ import annotations
@@ -32,12 +31,11 @@ from docweave.llm.shared import free_name, staged
 LEAD = 3
 MIN_WORDS = 3
 MIN_DOCS = 6
-CONSTANT = 0.8
+#: A document is independent if one word in so many, or more, is in a line of its own.
+OWN = 5
 SIMILAR = 0.6
-#: Shares of a leaf from which a word at its place is constant, in the templates of whole=True; 0 leaves MIN_DOCS documents.
+#: Shares of a leaf from which a word at its place is constant; 0 leaves MIN_DOCS documents.
 STEPS = (0.4, 0.2, 0.1, 0.05, 0.02, 0.01, 0.0)
-#: Shares into which the lines of a leaf are dealt when they meet its template.
-SALTS = 16
 
 
 def masked(line: Column) -> Column:
@@ -51,25 +49,24 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(k1, k2, at, m, line, path, around): every line with enough words; at counts from 0."""
+    """(k1, k2, at, m, size, n, line, path): every line with enough words; at counts from 0, n its words, size its bytes."""
     text = F.col(f"`{text_col}`")
-    made = docs.filter(text.isNotNull()).select(*text_keys(text), F.transform(F.split(text, "\n"), masked).alias("ms"))
-    around = F.transform("ms", lambda m, i: F.struct(i.alias("at"), m.alias("m"), F.xxhash64(F.get("ms", i - 1), F.get("ms", i + 1)).alias("around")))
-    flat = made.select("k1", "k2", F.inline(around))
-    words = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
-    flat = flat.withColumn("n", words).filter(F.col("n") >= MIN_WORDS)
+    made = docs.filter(text.isNotNull()).select(*text_keys(text), F.posexplode(F.split(text, "\n")).alias("at", "l"))
+    flat = made.select("k1", "k2", "at", masked(F.col("l")).alias("m")).withColumn("size", F.octet_length("m"))
+    flat = flat.withColumn("n", F.col("size") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= MIN_WORDS)
     return flat.withColumn("line", F.xxhash64("m")).withColumn("path", F.xxhash64("n", F.substring_index("m", " ", LEAD)))
 
 
 def independent(flat: DataFrame, busy: DataFrame, min_docs: int) -> DataFrame:
-    """(path, line, own): lines of busy leaves, with the smallest hash of the lines that only few have, by independent document."""
-    often = busy.filter(F.col("docs") >= min_docs).select("line", F.lit(True).alias("often"))
-    marked = flat.join(often, "line", "left")
+    """(path, line, own): the lines of busy leaves by independent document, which goes by its longest own line."""
+    often = staged(busy.filter(F.col("docs") >= min_docs).select("path").distinct(), "frequent_leaves")
+    marked = flat.join(often.withColumn("often", F.lit(True)), "path", "left")
     alone = F.col("often").isNull()
-    per_doc = marked.groupBy("k1").agg(F.sum("n").alias("words"), F.sum(F.when(alone, F.col("n"))).alias("own_words"), F.min(F.when(alone, F.col("line"))).alias("own"))
-    apart = staged(per_doc.filter(2 * F.col("own_words") >= F.col("words")).select("k1", "own"), "independent")
-    held = flat.join(busy.select("line"), "line", "left_semi").select("path", "line", "k1")
-    return staged(held.join(apart, "k1").select("path", "line", "own").distinct(), "independent_lines")
+    longest = F.max(F.when(alone, F.struct("size", (-F.col("at")).alias("at"), "line")))
+    per_doc = marked.groupBy("k1", "k2").agg(F.sum("n").alias("words"), F.sum(F.when(alone, F.col("n"))).alias("own_words"), longest.alias("longest"))
+    apart = staged(per_doc.filter(OWN * F.col("own_words") >= F.col("words")).select("k1", "k2", F.col("longest.line").alias("own")), "independent")
+    held = flat.join(busy.select("line"), "line", "left_semi").select("path", "line", "k1", "k2")
+    return staged(held.join(apart, ["k1", "k2"]).select("path", "line", "own").distinct(), "independent_lines")
 
 
 def templates_of_leaves(members: DataFrame, min_docs: int) -> DataFrame:
@@ -85,52 +82,37 @@ def templates_of_leaves(members: DataFrame, min_docs: int) -> DataFrame:
     return staged(shaped.select(template.alias("template"), "path", "line"), "templates")
 
 
-def recurring(docs: DataFrame, flat: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
-    """(line): hashes of the masked lines that recur by themselves or through their leaf's template; flat is lines() without m."""
-    in_doc = flat.groupBy("path", "line", "k1").agg(F.min_by("around", "at").alias("around"))  # where the text has it first
-    in_place = in_doc.groupBy("path", "line", "around").agg(F.count("*").alias("docs"))
-    per_line = in_place.groupBy("path", "line").agg(F.sum("docs").alias("docs"), F.count("*").alias("places"))
+def recurring(flat: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(line): hashes of the masked lines that recur by themselves or through a template; flat is lines()."""
+    in_doc = flat.select("path", "line", "k1", "k2").distinct()
+    per_line = in_doc.groupBy("path", "line").agg(F.count("*").alias("docs"))
     leaves = per_line.groupBy("path").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).filter(F.col("leaf_docs") >= min_docs)
     busy = staged(per_line.join(leaves, "path"), "busy_lines")
-
-    recurs = (F.col("docs") >= min_docs) & (2 * F.col("places") > F.col("docs"))
-    alone = busy.filter(recurs).select("line")
-
-    mixed = staged(busy.filter("leaf_lines > 1").select("path", "line"), "leaf_lines")
-    texts = lines(docs, text_col).join(mixed, ["path", "line"]).groupBy("path", "line").agg(F.max("m").alias("m"))
-    salt = F.pmod("line", F.lit(SALTS)).alias("salt")
-    members = staged(texts.join(busy.select("path", "line", "docs", "places", "leaf_docs"), ["path", "line"]).select("*", F.split("m", " ").alias("words"), salt).drop("m"), "leaf_texts")
-    tokens = members.select("path", "docs", "leaf_docs", F.posexplode("words").alias("at", "word"))
-    votes = tokens.groupBy("path", "at", "word").agg(F.sum("docs").alias("docs"), F.max("leaf_docs").alias("leaf_docs"))
-    constants = votes.filter(F.col("docs") >= CONSTANT * F.col("leaf_docs")).groupBy("path", "at").agg(F.max(F.struct("docs", "word")).alias("top"))
-    templates = constants.groupBy("path").agg(F.collect_list(F.struct("at", F.col("top.word").alias("word"))).alias("template"))  # as long as the line
-    templates = templates.select("path", "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))  # a leaf may hold a third of all lines
-    fit = members.join(templates, ["path", "salt"]).filter(F.size(F.filter("template", lambda t: F.get("words", t["at"]) == t["word"])) >= SIMILAR * F.size("words"))
-    fit = staged(fit.select("path", "line", "docs", "places"), "leaf_members")
-    grown = fit.groupBy("path").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places")).filter(recurs).select("path")
-    found = alone.union(fit.join(grown, "path", "left_semi").select("line"))
-    if whole:
-        apart = independent(flat, busy, min_docs)
-        enough = F.col("documents") >= min_docs
-        found = found.union(apart.groupBy("line").agg(F.count("*").alias("documents")).filter(enough).select("line"))
-        made = templates_of_leaves(members, min_docs)
-        by_template = made.join(apart, ["path", "line"]).select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("documents"))
-        found = found.union(made.join(by_template.filter(enough), "template", "left_semi").select("line"))
-    return staged(found.distinct(), "recurring")
-
-
-def dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
-    """(k1, k2, gone): per text, the numbers of the lines to drop. Texts are cut into lines once, and hashes of those kept."""
-    flat = staged(lines(docs, text_col).select("k1", "k2", "at", "line", "path", "around", *(["n"] if whole else [])), "lines")
-    hit = flat.join(recurring(docs, flat, text_col, min_docs, whole), "line", "left_semi")
+    apart = independent(flat, busy, min_docs)
+    enough = F.col("documents") >= min_docs
+    alone = apart.groupBy("line").agg(F.count("*").alias("documents")).filter(enough).select("line")
+
+    mixed = busy.filter("leaf_lines > 1").select("path", "line", "docs", "leaf_docs")
+    texts = flat.select("line", "m").join(mixed.select("line"), "line", "left_semi").groupBy("line").agg(F.max("m").alias("m"))
+    members = staged(texts.join(mixed, "line").select("path", "line", "docs", "leaf_docs", F.split("m", " ").alias("words")), "leaf_texts")
+    made = templates_of_leaves(members, min_docs)
+    by_template = made.join(apart, ["path", "line"]).select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("documents"))
+    through = made.join(by_template.filter(enough), "template", "left_semi").select("line")
+    return staged(alone.union(through).distinct(), "recurring")
+
+
+def dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(k1, k2, gone): per text, the numbers of the lines to drop."""
+    flat = staged(lines(docs, text_col), "lines")
+    hit = flat.join(recurring(flat, min_docs), "line", "left_semi")
     return staged(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "dropped")  # as many as the text has lines
 
 
-def without_recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False, whole: bool = False) -> DataFrame:
+def without_recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """docs with the recurring lines cut out of the text; counts adds n_lines and n_dropped (free names)."""
     text = F.col(f"`{text_col}`")
     k1, k2, gone = (free_name(docs, x) for x in ("k1", "k2", "gone"))
-    cuts = dropped(docs, text_col, min_docs, whole).select(F.struct("k1", "k2", "gone").alias(gone))
+    cuts = dropped(docs, text_col, min_docs).select(F.struct("k1", "k2", "gone").alias(gone))
     keyed = docs.withColumn(k1, text_keys(text)[0]).withColumn(k2, text_keys(text)[1])
     found = keyed.join(cuts, (F.col(k1) == F.col(f"{gone}.k1")) & (F.col(k2) == F.col(f"{gone}.k2")), "left")
     parts = F.split(text, "\n")

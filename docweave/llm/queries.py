@@ -74,9 +74,9 @@ m AS (SELECT w.r, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(w
   length(t) - length(replace(t, '!', '')) AS n_bangs, coalesce(list_max(list_transform(ws, lambda x: strlen(x))), 0) AS longest_word FROM w LEFT JOIN p USING (r)),
 b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
   + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
-  + CASE WHEN 2 * n_upper_words > n_words THEN 32 ELSE 0 END + CASE WHEN 2 * n_bangs > n_words THEN 64 ELSE 0 END + CASE WHEN longest_word > 2000 THEN 128 ELSE 0 END AS fail_bits FROM m)
+  + CASE WHEN 2 * n_upper_words > n_words THEN 32 ELSE 0 END + CASE WHEN 2 * n_bangs > n_words THEN 64 ELSE 0 END + CASE WHEN longest_word > 2000 THEN 128 ELSE 0 END + CASE WHEN n_words < 5 THEN 256 ELSE 0 END AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 255 = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
 """
 
 
@@ -84,20 +84,21 @@ OP7_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS k, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
 e AS (SELECT k, unnest(ls) AS l, unnest(range(0, len(ls))) AS pos FROM t),
 f AS (SELECT k, pos, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM e),
-c AS (SELECT k, pos, m, lag(m) OVER w AS a, lead(m) OVER w AS b, string_split(m, ' ') AS ws FROM f WINDOW w AS (PARTITION BY k ORDER BY pos)),
-g AS (SELECT k, pos, m, ws, CASE WHEN a IS NULL THEN [b] WHEN b IS NULL THEN [a] ELSE [a, b] END AS around, len(ws) || ' ' || array_to_string(ws[1:3], ' ') AS path FROM c WHERE len(ws) >= 3),
-o AS (SELECT path, m, k, arg_min(around, pos) AS around FROM g GROUP BY path, m, k),
-p AS (SELECT path, m, count(*) AS docs, count(DISTINCT around) AS places FROM o GROUP BY path, m),
-v AS (SELECT path, sum(docs) AS leaf_docs, count(*) AS leaf_lines FROM p GROUP BY path HAVING sum(docs) >= 6),
-y AS (SELECT p.*, leaf_docs, leaf_lines, string_split(m, ' ') AS ws FROM p JOIN v USING (path)),
-u AS (SELECT path, m, docs, leaf_docs, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM y WHERE leaf_lines > 1),
-q AS (SELECT path, i, word FROM u GROUP BY path, i, word HAVING sum(docs) >= CAST(0.8 AS DOUBLE) * max(leaf_docs)),
-n AS (SELECT u.path, u.m, count(*) AS hits FROM u JOIN q ON u.path = q.path AND u.i = q.i AND u.word = q.word GROUP BY u.path, u.m),
-s AS (SELECT y.path, y.m, docs, places FROM y JOIN n ON y.path = n.path AND y.m = n.m WHERE hits >= CAST(0.6 AS DOUBLE) * len(ws)),
-w AS (SELECT path FROM s GROUP BY path HAVING sum(docs) >= 6 AND 2 * sum(places) > sum(docs)),
-r AS (SELECT m FROM y WHERE docs >= 6 AND 2 * places > docs UNION SELECT m FROM s WHERE path IN (SELECT path FROM w)),
-x AS (SELECT k, pos FROM g WHERE m IN (SELECT m FROM r)),
-z AS (SELECT e.k, coalesce(string_agg(l, chr(10) ORDER BY e.pos) FILTER (x.k IS NULL), '') AS kept, count(*) AS n_lines, count(x.k) AS n_dropped FROM e LEFT JOIN x ON e.k = x.k AND e.pos = x.pos GROUP BY e.k)
+g AS (SELECT k, pos, m, ws, len(ws) AS n, len(ws) || ' ' || array_to_string(ws[1:3], ' ') AS path FROM (SELECT *, string_split(m, ' ') AS ws FROM f) WHERE len(ws) >= 3),
+p AS (SELECT path, m, any_value(ws) AS ws, count(DISTINCT k) AS docs FROM g GROUP BY path, m),
+v AS (SELECT path, sum(docs) AS leaf_docs, count(*) AS leaf_lines, bool_or(docs >= 6) AS often FROM p GROUP BY path HAVING sum(docs) >= 6),
+d AS (SELECT k, sum(n) AS words, sum(n) FILTER (v.often IS NOT TRUE) AS own_words,
+  max({'size': strlen(m), 'at': -pos, 'm': m}) FILTER (v.often IS NOT TRUE) AS longest FROM g LEFT JOIN v USING (path) GROUP BY k),
+h AS (SELECT DISTINCT g.path, g.m, d.longest.m AS own FROM g JOIN v USING (path) JOIN d USING (k) WHERE 5 * own_words >= words),
+y AS (SELECT p.path, m, docs, leaf_docs, ws FROM p JOIN v USING (path) WHERE leaf_lines > 1),
+u AS (SELECT path, m, docs, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM y),
+q AS (SELECT path, i, word, sum(docs) AS votes FROM u WHERE i >= 3 GROUP BY path, i, word HAVING sum(docs) >= 6),
+c AS (SELECT y.path, y.m, s, list(CASE WHEN u.i < 3 OR votes >= s * leaf_docs THEN u.word END ORDER BY u.i) AS shape FROM y
+  CROSS JOIN (SELECT unnest([CAST(0.4 AS DOUBLE), 0.2, 0.1, 0.05, 0.02, 0.01, 0.0]) AS s) JOIN u ON u.path = y.path AND u.m = y.m LEFT JOIN q ON q.path = u.path AND q.i = u.i AND q.word = u.word GROUP BY y.path, y.m, s),
+x AS (SELECT * FROM c WHERE len(list_filter(shape, lambda w: w IS NOT NULL)) >= CAST(0.6 AS DOUBLE) * len(shape)),
+w AS (SELECT x.path, s, shape FROM x JOIN h ON h.path = x.path AND h.m = x.m GROUP BY x.path, s, shape HAVING count(DISTINCT own) >= 6),
+r AS (SELECT m FROM h GROUP BY m HAVING count(DISTINCT own) >= 6 UNION SELECT x.m FROM x JOIN w ON x.path = w.path AND x.s = w.s AND x.shape = w.shape),
+z AS (SELECT e.k, coalesce(string_agg(l, chr(10) ORDER BY e.pos) FILTER (g.k IS NULL), '') AS kept, count(*) AS n_lines, count(g.k) AS n_dropped FROM e LEFT JOIN (SELECT k, pos FROM g WHERE m IN (SELECT m FROM r)) g ON e.k = g.k AND e.pos = g.pos GROUP BY e.k)
 SELECT doc_id, kept AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN z ON t.k = z.k
 """
 

@@ -45,8 +45,11 @@ def test_ledger_and_policies(spark):
     assert kept.count() == want
     a = {r["rule"]: (r["n_failed"], r["n_alone"]) for r in quality_rules.ablations(book, "v1").collect()}
     bits = [r[0] for r in book.select("fail_bits").collect()]
+    whole = quality_rules.mask(quality_rules.POLICIES["v1"])
+    assert set(a) == set(quality_rules.POLICIES["v1"])
     for k, rule in enumerate(quality_rules.RULES):
-        assert a[rule.name] == (sum(b >> k & 1 for b in bits), sum(b == 1 << k for b in bits))
+        if whole >> k & 1:
+            assert a[rule.name] == (sum(b >> k & 1 for b in bits), sum(b & whole == 1 << k for b in bits))
     assert quality_rules.ledger(empty(spark)).count() == 0 and quality_rules.keep(empty(spark)).count() == 0
 
 
@@ -336,5 +339,13 @@ def test_pipeline(spark, sf):
 
 
 def eval_rule(values):
+    """The rules of policy v2."""
     n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper_words, n_bangs, longest_word = values
-    return (n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > 3 * n_words, n_lines >= 4 and 2 * n_dup_lines > n_lines, word_chars < 2 * n_words or word_chars > 20 * n_words, 2 * n_upper_words > n_words, 2 * n_bangs > n_words, longest_word > 2000)
+    return (n_words < 5, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > 3 * n_words, n_lines >= 4 and 2 * n_dup_lines > n_lines, word_chars < 2 * n_words or word_chars > 20 * n_words, 2 * n_upper_words > n_words, 2 * n_bangs > n_words, longest_word > 2000)
+
+
+def test_policies_are_masks(spark):
+    """v2 lets short texts pass that v1 rejects for their length alone, and nothing else."""
+    df = frame(spark, [(1, "one two three four five six", "s"), (2, "one two", "s"), (3, "# * | # * | # * |", "s"), (4, " ".join(f"w{i}" for i in range(60)), "s")])
+    kept = lambda v: sorted(r["doc_id"] for r in quality_rules.keep(df, v).collect())
+    assert kept("v1") == [4] and kept("v2") == [1, 4]

@@ -1,4 +1,4 @@
-"""The pipeline's line stage: boilerplate blocks, and several templates in one leaf."""
+"""Line dedup: boilerplate blocks, copies, and several templates in one leaf."""
 
 import random
 
@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string"
 
 def cut(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
-    return [r["text"] for r in line_dedup.without_recurring(df, whole=True).orderBy("doc_id").collect()]
+    return [r["text"] for r in line_dedup.without_recurring(df).orderBy("doc_id").collect()]
 
 
 def sentences(seed):
@@ -54,3 +54,29 @@ def test_two_templates_in_a_leaf(spark):
         texts.append("\n".join(body[:3] + [line] + body[3:]))
         want.append("\n".join(body))
     assert cut(spark, texts) == want
+
+
+def test_recall_of_planted_blocks(spark):
+    """Blocks of 1 to 8 fixed lines and lines with fields, at any place, in short and long documents: at least 0.9 dropped, nothing else."""
+    word, sentence = sentences(34)
+    blocks = [[f"{' '.join(word() for _ in range(6))} block {k}" for k in range(n)] for n in range(1, 9)]
+    blocks = [[x.replace(f" block {k}", "") for k, x in enumerate(b)] for b in blocks]
+    texts, bodies, planted = [], [], 0
+    rng = random.Random(35)
+    for i in range(160):
+        body = [sentence() for _ in range(rng.choice((2, 3, 5, 12)))]
+        block = blocks[i % 8] + ([f"Printed on day {i} of the year {1900 + i} by us"] if i % 2 else [f"Thanks go to {word()} for help with this text"])
+        at = rng.choice((0, rng.randrange(len(body) + 1), len(body)))
+        texts.append("\n".join(body[:at] + block + body[at:]))
+        bodies.append(body)
+        planted += len(block)
+    copied = [sentence() for _ in range(10)]  # near copies of one document
+    for i in range(40):
+        changed = copied[i % 10].split()
+        changed[4 + i % 5] = word()
+        texts.append("\n".join(copied[: i % 10] + [" ".join(changed)] + copied[i % 10 + 1 :]))
+    got = cut(spark, texts)
+    left = sum(len(g.split("\n")) - len(b) for g, b in zip(got, bodies))
+    assert all(set(b) <= set(g.split("\n")) for g, b in zip(got, bodies))
+    assert left <= 0.1 * planted
+    assert got[160:] == texts[160:]
