@@ -8,11 +8,14 @@ with WAND: lists are kept in order of their next item, and the walk jumps to the
 the threshold. Every item at or above the threshold is returned; there is no top-k. A hit counts once the item's question
 and its answer (its last sentence; of a single sentence, the last third) both overlap the document.
 
-The index holds a shard of the items. Shards are cut by a hash so that each has at most SHARD_CHARS characters on
-average, which bounds what is broadcast; the documents are read once per shard. Document frequencies are those of the shard.
-
-Defined cases: null or empty texts match nothing, on either side; items without words are never found; repeated item rows
-give repeated matches only if their ids differ; null ids stay null; an empty benchmark or corpus gives no rows.
+Equal texts are one item of the index, and matches are joined to all ids that have the text. An index holds a shard of
+the items: shards are cut by a hash, into as many as it takes for each to have SHARD_CHARS characters at most (or one
+longer item), which bounds what is broadcast. AT_ONCE shards are searched in one pass over the documents. Number of items,
+document frequencies, mean length and passage length are those of the whole benchmark, so scores do not depend on shards.
+
+Defined cases: null or empty texts match nothing, on either side; items without words are never found; rows of the same
+id and text are one item; null ids stay null; texts of any length are searched whole, passage by passage; repeated
+document rows are searched row by row; an empty benchmark or corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docweave.llm.shared import free_name
+from docweave.llm.shared import free_name, staged
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -38,11 +44,12 @@ RUN = 3
 PASSAGE = 64
 BLOCKS = 64
 SHARD_CHARS = 500_000
+AT_ONCE = 4
 
 #: ASCII but letters and digits becomes a space.
 FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
-HITS = "array<struct<item:int,score:double,question:double,answer:double,at:int>>"
+HITS = "array<struct<k1:bigint,k2:bigint,score:double,question:double,answer:double,at:int>>"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -65,28 +72,43 @@ def runs(words: list[bytes], n: int = RUN) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(n)))) if words else set()
 
 
+@dataclass(frozen=True)
+class Stats:
+    """Of the whole benchmark: items with words, their mean and greatest length, and in how many of them a term is."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def statistics(lengths: list[int], distinct_terms: list[set[bytes]]) -> Stats:
+    return Stats(len(lengths), sum(lengths) / max(1, len(lengths)), max(lengths, default=0), Counter(t for x in distinct_terms for t in x))
+
+
 class Index:
-    """items: (id, text). Items without words are left out."""
+    """items: (id, text). Items without words are left out. Without stats the items are the whole benchmark."""
 
-    def __init__(self, items: list[tuple[object, str | None]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[object, str | None]], threshold: float = THRESHOLD, stats: Stats | None = None):
         kept = sorted(((len(w), str(i), i, t, w) for i, t in items if (w := terms(t))), key=lambda x: x[:2])
         self.ids = [x[2] for x in kept]
         self.threshold = threshold
-        self.window = max(PASSAGE, max((x[0] for x in kept), default=0))
+        stats = stats or statistics([x[0] for x in kept], [set(x[4]) for x in kept])
+        self.window = max(PASSAGE, stats.longest)
         self.sides = [tuple(map(runs, parts(x[3]))) for x in kept]
         self.block = max(1, -(-len(kept) // BLOCKS))
-        n, mean = len(kept), sum(x[0] for x in kept) / max(1, len(kept))
-        df = Counter(t for x in kept for t in set(x[4]))
-        self.vocabulary = {t: i for i, t in enumerate(sorted(df))}
+        n, mean, df = stats.n, stats.mean, stats.df
+        own_terms = sorted({t for x in kept for t in x[4]})
+        self.vocabulary = {t: i for i, t in enumerate(own_terms)}
         impacts: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for k, (length, _, _, _, words) in enumerate(kept):
             weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in Counter(words).items()}
             own = sum(weight.values())
             for t, w in weight.items():
                 impacts[self.vocabulary[t]].append((k, w / own))
-        self.bounds = np.zeros((len(df) + 1, -(-n // self.block)), np.float32)  # the last row: terms not in the index
+        self.bounds = np.zeros((len(own_terms) + 1, -(-len(kept) // self.block)), np.float32)  # the last row: terms not in the index
         self.postings: list[list[tuple[list[int], list[float]]]] = []
-        for t in range(len(df)):
+        for t in range(len(own_terms)):
             lists: dict[int, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
             for k, w in impacts[t]:
                 items_, weights_ = lists[k // self.block]
@@ -175,30 +197,70 @@ class Index:
         return hits
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, threshold: float, shard_chars: int) -> list[Index]:
-    """Indexes over disjoint shares of the benchmark, each collected by itself; a share is bounded by its number of characters."""
-    chars = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = -(-chars // shard_chars)
-    items = benchmark.select(id_col, text_col).filter(F.col(text_col).isNotNull()).distinct()
-    share = F.pmod(F.xxhash64(F.col(text_col)), F.lit(max(1, n)))
-    for k in range(n):
-        yield Index([tuple(r) for r in items.filter(share == k).collect()], threshold)
-
-
-def hits_udf(sent):
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def word_lists(texts: pd.Series) -> pd.Series:
+    return pd.Series([[w.decode() for w in terms(t)] for t in texts], dtype=object)
+
+
+def keyed(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """benchmark's rows with a text, and its key (k1, k2)."""
+    text = F.col(f"`{text_col}`")
+    return benchmark.filter(text.isNotNull()).withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text))
+
+
+def shards(benchmark: DataFrame, text_col: str, threshold: float, shard_chars: int) -> Iterator[Index]:
+    """Indexes over disjoint shares of the distinct texts, one after the other."""
+    items = keyed(benchmark.select(text_col), text_col).select("k1", "k2", F.col(text_col).alias("text")).dropDuplicates(["k1", "k2"])
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars <= shard_chars:
+        yield Index([((r["k1"], r["k2"]), r["text"]) for r in items.collect()], threshold)
+        return
+    made = staged(items.withColumn("words", word_lists("text")).filter(F.size("words") > 0), "items")
+    n = 2 * -(-chars // shard_chars)
+    while True:
+        share = F.pmod(F.col("k1"), F.lit(n))
+        most = made.groupBy(share.alias("share")).agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("items")).filter("items > 1").agg(F.max("chars")).first()[0]
+        if most is None or most <= shard_chars:
+            break
+        n *= 2
+    whole = made.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words"), F.max(F.size("words")).alias("longest")).first()
+    each = made.select("k1", "k2", F.explode(F.array_distinct("words")).alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    with_df = each.join(df, "word").groupBy("k1", "k2").agg(F.collect_list(F.struct("word", "df")).alias("dfs"))  # as many as the item has words
+    ready = staged(made.select("k1", "k2", "text").join(with_df, ["k1", "k2"]).withColumn("share", share), "shards")
+    for r in range(n):
+        rows = ready.filter(F.col("share") == r).collect()  # SHARD_CHARS characters at most
+        if rows:
+            seen = {x["word"].encode(): x["df"] for row in rows for x in row["dfs"]}
+            yield Index([((x["k1"], x["k2"]), x["text"]) for x in rows], threshold, Stats(whole["n"], whole["words"] / whole["n"], whole["longest"], seen))
+
+
+def passes(spark, benchmark: DataFrame, text_col: str, threshold: float, shard_chars: int) -> Iterator[list]:
+    """Broadcast indexes for one pass over the documents, AT_ONCE at a time."""
+    some = []
+    for index in shards(benchmark, text_col, threshold, shard_chars):
+        some.append(spark.sparkContext.broadcast(index))
+        if len(some) == AT_ONCE:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def hits_udf(sent: list):
     @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.Series:
-        found = sent.value.search
-        return pd.Series([[dict(zip(("item", "score", "question", "answer", "at"), h)) for h in found(t)] for t in texts], dtype=object)
+        indexes = [s.value for s in sent]
+        return pd.Series([[dict(zip(("k1", "k2", "score", "question", "answer", "at"), (*x.ids[i], *h))) for x in indexes for i, *h in x.search(t)] for t in texts], dtype=object)
 
     return hits.asNondeterministic()  # else a filter on the number of hits is derived, and texts are searched twice
 
 
-def leaks_udf(sent):
+def leaks_udf(sent: list):
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
-        found = sent.value.search
-        return pd.Series([bool(found(t)) for t in texts], dtype=bool)
+        indexes = [s.value for s in sent]
+        return pd.Series([any(x.search(t) for x in indexes) for t in texts], dtype=bool)
 
     return leaks
 
@@ -206,25 +268,17 @@ def leaks_udf(sent):
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap, at_word): one row for each document row and item in it."""
     spark = docs.sparkSession
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    out = spark.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id {kind}, score double, question_overlap double, answer_overlap double, at_word int")
-    for index in shards(benchmark, item_col, item_text_col, threshold, shard_chars):
-        sent = spark.sparkContext.broadcast(index)
+    found = spark.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, k1 long, k2 long, score double, question double, answer double, at int")
+    for sent in passes(spark, benchmark, item_text_col, threshold, shard_chars):
+        found = found.unionByName(docs.select(F.col(id_col).alias("id"), hits_udf(sent)(F.col(text_col)).alias("hits")).select("id", F.inline("hits")))
+    names = keyed(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text").select("k1", "k2", "item_id").distinct()
+    return found.join(names, ["k1", "k2"]).select(F.col("id").alias(id_col), "item_id", F.round("score", 6).alias("score"), F.round("question", 6).alias("question_overlap"), F.round("answer", 6).alias("answer_overlap"), F.col("at").alias("at_word"))
 
-        names = spark.createDataFrame([(k, i) for k, i in enumerate(index.ids)], f"item int, item_id {kind}") if index.ids else None
-        if names is None:
-            continue
-        found = docs.select(F.col(id_col), hits_udf(sent)(F.col(text_col)).alias("hits")).select(id_col, F.inline("hits"))
-        out = out.unionByName(found.join(names, "item").select(id_col, "item_id", F.round("score", 6).alias("score"), F.round("question", 6).alias("question_overlap"), F.round("answer", 6).alias("answer_overlap"), F.col("at").alias("at_word")))
-    return out
 
-
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """docs without the rows whose text contains an item, with all their columns."""
-    spark, kept = docs.sparkSession, docs
-    for index in shards(benchmark, item_col, item_text_col, threshold, shard_chars):
-        sent = spark.sparkContext.broadcast(index)
-
+    kept = docs
+    for sent in passes(docs.sparkSession, benchmark, item_text_col, threshold, shard_chars):
         name = free_name(kept, "leaks")
         kept = kept.withColumn(name, leaks_udf(sent)(F.col(f"`{text_col}`"))).filter(~F.col(name)).drop(name)
     return kept
