@@ -1,30 +1,30 @@
-"""Deterministic embeddings and similarities that need Python, over Arrow batches."""
+"""Deterministic embeddings, and similarities that need Python, over Arrow batches."""
 
 from __future__ import annotations
 
 import difflib
-import hashlib
-import math
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions import text as tx
 
-def hash_vector(text: str, dim: int = 64) -> list[float]:
-    """Bytes of a chain of SHA-256 digests, centred and of norm 1: equal texts agree, others are nearly orthogonal."""
-    seed, chain = hashlib.sha256(text.encode()).digest(), b""
-    while len(chain) < dim:
-        chain += hashlib.sha256(chain + seed).digest()
-    centred = [b / 255.0 - 0.5 for b in chain[:dim]]
-    norm = math.sqrt(sum(x * x for x in centred)) or 1.0
-    return [x / norm for x in centred]
 
+def hash_vector(text: Column, dim: int = 64) -> Column:
+    """Bytes of a chain of SHA-256 digests, centred and of norm 1: equal texts agree, others are nearly orthogonal.
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hash_embedding(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else hash_vector(t) for t in texts], dtype=object)
+    Fixed values: each link digests the chain so far and the text's own digest; a byte b counts b / 255 - 0.5.
+    """
+    seed = F.unhex(F.sha2(text, 256))
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(-(-dim // 32))), F.unhex(F.lit("")), lambda c, _: F.concat(c, F.unhex(F.sha2(F.concat(c, seed), 256))))
+
+    def centred(digits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int") / F.lit(255.0) - F.lit(0.5))
+
+    return F.when(text.isNotNull(), tx.bound(tx.bound(F.hex(chain), centred), lambda v: tx.bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)), lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))))
 
 
 def ratio(a: str | None, b: str | None) -> float:

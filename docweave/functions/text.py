@@ -124,7 +124,8 @@ def fixed_chunks(t: Column, size: int = 1000, overlap: int = 200) -> Column:
     """(no, start, text) windows of size characters, moved by size - overlap; the last one ends with the text."""
     step = size - overlap
     last = F.greatest(F.ceil((F.length(t) - size) / F.lit(float(step))), F.lit(0)).cast("int")
-    return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("no"), (i * step).alias("start"), F.substring(t, i * step + 1, F.lit(size)).alias("text"))))
+    cut = lambda chars: F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("no"), (i * step).alias("start"), F.array_join(F.slice(chars, i * step + 1, F.lit(size)), "").alias("text")))
+    return F.when(F.length(t) > 0, bound(F.split(t, ""), cut))  # a substring would walk from the start for every chunk
 
 
 def windows(items: Column, n: int, glue: str = "") -> Column:

@@ -19,6 +19,8 @@ def written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _own_dir = _own_dir or tempfile.mkdtemp(prefix="docweave-")
     path = f"{at.rstrip('/')}/loops/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -26,7 +28,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def distinct_first(df: DataFrame, key: list[Column | str], seq: str) -> DataFrame:
-    """The row with the smallest seq of each key; rows with an empty or null key go.
+    """The row with the smallest seq of each key; rows with an empty or null key go. Rows equal in key and seq all stay.
 
     The winners' seq are found with map-side aggregation, so that a frequent key is not sorted in one task.
     """
@@ -34,8 +36,11 @@ def distinct_first(df: DataFrame, key: list[Column | str], seq: str) -> DataFram
     names = [f"__k{i}" for i in range(len(key))]
     for n in names:
         keyed = keyed.filter(F.col(n).isNotNull() & (F.col(n).cast("string") != ""))
-    first = keyed.groupBy(*names).agg(F.min(seq).alias("__first")).select(F.col("__first").alias("__seq"))
-    return keyed.join(first, keyed[seq] == F.col("__seq"), "left_semi").drop(*names)
+    first = keyed.groupBy(*names).agg(F.min(seq).alias("__first")).select(*(F.col(n).alias(f"{n}_") for n in names), "__first")
+    same = keyed[seq] == F.col("__first")
+    for n in names:
+        same = same & (F.col(n) == F.col(f"{n}_"))
+    return keyed.join(first, same, "left_semi").drop(*names)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -36,6 +36,12 @@ def compact(html: Column) -> Column:
     return F.regexp_replace(out, r"(?i)<(p|tr)>[ \t\n\x0B\f\r]*</(p|tr)>", "")
 
 
+def spanned(value: str | None, most: int) -> int:
+    """A span as the HTML standard reads it: 1 if it is no positive number, and bounded."""
+    digits = re.match("[0-9]{1,9}", (value or "").strip())
+    return min(max(1, int(digits[0])), most) if digits else 1
+
+
 class Walk(HTMLParser):
     """Blocks (tag, text) outside tables, and tables as (rowspan, colspan, text) cells."""
 
@@ -63,7 +69,7 @@ class Walk(HTMLParser):
             self.open[-1].append([])
         elif self.open and tag in ("td", "th"):
             span = dict(attrs)
-            n = [int(span[k]) if (span.get(k) or "").isdigit() and int(span[k]) else 1 for k in ("rowspan", "colspan")]
+            n = [spanned(span.get(k), most) for k, most in (("rowspan", 65534), ("colspan", 1000))]
             if not self.open[-1]:
                 self.open[-1].append([])
             self.open[-1][-1].append([*n, ""])
@@ -108,7 +114,7 @@ def dense(cells: list[list[list]]) -> list[list[str]]:
                 c += 1
             value = " ".join(text.split())
             for i in range(min(down, len(cells) - r)):
-                for j in range(min(across, 1000)):
+                for j in range(across):
                     grid.setdefault((r + i, c + j), value)
             c += across
     width = max((c for _, c in grid), default=-1) + 1

@@ -95,19 +95,15 @@ def capped_drop(rows: DataFrame, drop: Column, most: float = 0.25) -> DataFrame:
 def roles(scores: DataFrame, table: str) -> DataFrame:
     """Greedy assignment per table of (role, col, score): highest first, each role and each column once.
 
-    Of equal scores the later role, then the higher column goes first. What is chosen depends on what was chosen before,
-    so a table (a few roles by a few columns) is decided in one call.
+    Of equal scores the later role, then the higher column goes first. A table has a few roles by a few columns, which are
+    folded in that order; what is taken is kept and looked up in the fold.
     """
-    import pandas as pd
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        keep = []
-        for i, r in pdf.sort_values(["score", "role", "col"], ascending=False).iterrows():
-            if r["score"] > 0 and ("r", r["role"]) not in used and ("c", r["col"]) not in used:
-                used |= {("r", r["role"]), ("c", r["col"])}
-                keep.append(i)
-        return pdf.loc[keep, [table, "role", "col"]]
-
-    kinds = ", ".join(f"`{c}` {scores.schema[c].dataType.simpleString()}" for c in (table, "role", "col"))
-    return scores.select(table, "role", "col", "score").groupBy(table).applyInPandas(assign, kinds)
+    cell = F.struct("score", "role", "col")
+    ranked = scores.filter("score > 0").groupBy(table).agg(F.reverse(F.array_sort(F.collect_list(cell))).alias("cells"))
+    none = F.slice(F.col("cells"), 1, 0)
+
+    def take(taken: Column, c: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["role"] == c["role"]) | (t["col"] == c["col"]))
+        return F.when(free, F.concat(taken, F.array(c))).otherwise(taken)
+
+    return ranked.select(table, F.explode(F.aggregate("cells", none, take)).alias("c")).select(table, "c.role", "c.col")

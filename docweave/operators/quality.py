@@ -62,11 +62,12 @@ def length_profile(rows: DataFrame, group: str, text: str, page: str, seq: str)
     return sums.join(back, "g").withColumnRenamed("g", group)
 
 
-def numbering_gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """(group, missing): numbers between the least and the greatest of a group that no row has."""
+def numbering_gaps(rows: DataFrame, group: str, number: str, expand: bool = False) -> DataFrame:
+    """(group, first, last): runs of numbers between the least and the greatest of a group that no row has; expand gives (group, missing), number by number."""
     seen = rows.select(group, F.col(number).cast("int").alias("n")).distinct()
     nexts = seen.withColumn("m", F.lead("n").over(Window.partitionBy(group).orderBy("n")))
-    return nexts.filter("m > n + 1").select(group, F.explode(F.sequence(F.col("n") + 1, F.col("m") - 1)).alias("missing"))
+    gaps = nexts.filter("m > n + 1").select(group, (F.col("n") + 1).alias("first"), (F.col("m") - 1).alias("last"))
+    return gaps.select(group, F.explode(F.sequence("first", "last")).alias("missing")) if expand else gaps
 
 
 def usage(calls: DataFrame, model: str, tokens_in: Column, tokens_out: Column, prices: list[tuple[str, float, float]], default: tuple[float, float] = (3.0, 12.0)) -> DataFrame:

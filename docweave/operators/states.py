@@ -1,14 +1,15 @@
-"""Operators whose output for a row depends on their output for the row before: decided document by document over Arrow-fed pandas."""
+"""Operators whose output for a row depends on the rows before: pages by the nearest match, labels by their anchor."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BULLET = re.compile(r"^\s*(?:[-•·○●▪◦□■]|\d{1,3}\))")
+from docweave.functions import text as tx
+
+#: Fixed value: marks that begin a bullet.
+BULLET = r"^\s*(?:[-•·○●▪◦□■]|\d{1,3}\))"
 
 
 def nearest(found: list[list[int]]) -> list[int | None]:
@@ -62,30 +63,19 @@ def paged(rows: DataFrame, pages: DataFrame, doc: str, seq: str, text: str, page
     return rows.join(chosen, (rows[doc] == chosen.d) & (rows[seq] == chosen.s), "left").drop("d", "s")
 
 
-def spaced(tabs: list[str], tops: list[str], mids: list[str], details: list[str]) -> list[tuple[str, str]]:
-    """(top, mid) with the labels of bullets blanked after their anchor: only the first bullet of a mid keeps them."""
-    out, tab, last = [], None, ""
-    for t, top, mid, detail in zip(tabs, tops, mids, details):
-        if t != tab:
-            tab, last = t, ""
-        if BULLET.match(detail):
-            if mid and mid != last:
-                last = mid
-            elif last and (top or mid):
-                top = mid = ""
-        elif len(re.sub(r"[^0-9A-Za-z가-힣]", "", detail)) >= 2:
-            last = mid if top or mid else ""
-        out.append((top, mid))
-    return out
-
-
 def spacing(rows: DataFrame, doc: str, seq: str, tab: str, top: str, mid: str, detail: str) -> DataFrame:
-    def per_doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        for c in (tab, top, mid, detail):
-            pdf[c] = pdf[c].fillna("").str.strip()
-        made = spaced(*(pdf[c].tolist() for c in (tab, top, mid, detail)))
-        return pdf.assign(**{top: [a for a, _ in made], mid: [b for _, b in made]})
-
-    cols = rows.select(doc, seq, tab, top, mid, detail)
-    return cols.groupBy(doc).applyInPandas(per_doc, cols.schema)
+    """Labels of bullets are blanked after their anchor: only the first bullet of a mid keeps them.
+
+    A run of rows of one tab remembers one label: that of the last bullet that had one, or of the last other row of two
+    letters or more, if any. It is a last value over the rows before, so two windows do.
+    """
+    empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    w = Window.partitionBy(doc).orderBy(seq)
+    r = rows.select(doc, seq, *(empty(c).alias(c) for c in (tab, top, mid, detail)))
+    r = r.withColumn("__run", F.sum(F.when(F.lag(tab).over(w).eqNullSafe(F.col(tab)), 0).otherwise(1)).over(w))
+    bullet, t, m = F.col(detail).rlike(BULLET), F.col(top), F.col(mid)
+    label = F.when(bullet, F.nullif(m, F.lit(""))).when(F.length(tx.sig(F.col(detail))) >= 2, m)
+    before = F.last(label, ignorenulls=True).over(Window.partitionBy(doc, "__run").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("__last", F.coalesce(before, F.lit("")))
+    blank = bullet & (F.col("__last") != "") & ((m == "") | (m == F.col("__last")))
+    return r.select(doc, seq, tab, F.when(blank, "").otherwise(t).alias(top), F.when(blank, "").otherwise(m).alias(mid), detail)

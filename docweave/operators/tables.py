@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from docweave.functions import text as tx
 
 NUMERIC = r"^[0-9.,%/()\-+ ]+$"
-#: Marks before a label, and ornaments.
-LABEL = r"(?i)^(?:[①-⑩]|\(?[0-9]+(?:\.[0-9]+)*[).\-]|[가-하][.)]|[ivxlcdm]+[).])[ \t]+"
+#: Marks before a label, bullets, verbs of duties, and ornaments.
+LABEL = r"(?i)^(?:[①-⑩]|\(?[0-9]+(?:\.[0-9]+)*[).\-]|[가나다라마바사아자차카타파하][.)]|[ivxlcdm]+[).])[ \t]+"
+BULLETED = r"^[•▪■◆▶◦○□◇·ㆍ−–—\-*]+[ \t]+"
+DUTY = "해야|하여야|제공|지원|수행|구성|관리|검증|확인|포함|필요|제시|운영"
 ORNAMENT = r"^[-=_*~·•.─━│┃┌┐└┘├┤┬┴┼ \t]+$"
 
 
@@ -68,26 +70,40 @@ def form_rows(pairs: DataFrame, form: str, seq: str, label: str, value: str, rol
 
 
 def column_rules(cells: Column) -> Column:
-    """(item, requirement, detail, note) of a row by its number of cells: 1 detail; 2 requirement, detail; 3 item, requirement, detail; 4 with note."""
-    n, at, none = F.size(cells), lambda i: F.get(cells, F.lit(i)), F.lit("")
-    return F.struct(
-        F.when(n >= 3, at(0)).otherwise(none).alias("item"),
-        F.when(n == 2, at(0)).when(n >= 3, at(1)).otherwise(none).alias("requirement"),
-        F.when(n == 1, at(0)).when(n == 2, at(1)).when(n >= 3, at(2)).otherwise(none).alias("detail"),
-        F.when(n >= 4, at(3)).otherwise(none).alias("note"),
+    """(item, requirement, detail) of a row by its number of cells.
+
+    1: detail; 2: requirement, detail; 3: item, requirement, detail; 4: as 3, the fourth goes on the detail after " / ";
+    more: the first is the requirement, all others that are filled make the detail. Rows without a filled cell give null.
+    """
+    n, at, none = F.size(cells), lambda i: F.coalesce(F.trim(F.get(cells, F.lit(i))), F.lit("")), F.lit("")
+    filled = lambda a: F.array_join(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != ""), " / ")
+    four = F.concat(at(2), F.when(at(3) != "", F.concat(F.lit(" / "), at(3))).otherwise(none))
+    detail = F.when(n == 1, at(0)).when(n == 2, at(1)).when(n == 3, at(2)).when(n == 4, F.trim(four)).otherwise(filled(F.slice(cells, F.lit(2), F.greatest(n, F.lit(1)))))
+    made = F.struct(
+        F.when(n.isin(3, 4), at(0)).otherwise(none).alias("item"),
+        F.when((n == 2) | (n >= 5), at(0)).when(n.isin(3, 4), at(1)).otherwise(none).alias("requirement"),
+        detail.alias("detail"),
     )
+    return F.when(filled(cells) != "", made)
 
 
 def continuity(text: Column) -> Column:
-    """(labels + half of other short lines) / lines of a fragment; 0 under two lines, or for sentences without labels."""
+    """(labels + half of other short lines) / lines of a fragment; 0 under two lines, or for sentences without labels.
+
+    Labels are lines with a mark, with a colon, or short lines after a bullet: 14 characters without white space, or 24 without a verb.
+    """
+
+    def kind(line: Column) -> Column:
+        tight = F.length(F.regexp_replace(line, tx.SPACE, ""))
+        bullet = line.rlike(BULLETED) & ((tight <= 14) | ((tight <= 24) & ~F.regexp_replace(line, tx.SPACE, "").rlike(DUTY)))
+        return F.when(line.rlike(LABEL) | line.rlike("[:：]") | bullet, 1.0).when((tight >= 35) | line.rlike("[.?!]$"), 0.0).otherwise(0.5)
 
-    def score(lines: Column) -> Column:
-        label = F.size(F.filter(lines, lambda x: x.rlike(LABEL) | x.contains(":") | x.contains("：")))
-        sentence = F.size(F.filter(lines, lambda x: ~(x.rlike(LABEL) | x.contains(":") | x.contains("：")) & ((F.length(F.regexp_replace(x, tx.SPACE, "")) >= 35) | x.rlike("[.?!]$"))))
-        n = F.size(lines)
-        return F.when((n < 2) | ((sentence > 0) & (label == 0)), 0.0).otherwise(F.round((label + (n - label - sentence) * 0.5) / n, 2))
+    def score(kinds: Column) -> Column:
+        has = lambda k: F.exists(kinds, lambda x: x == k)
+        return F.when((F.size(kinds) < 2) | (has(0.0) & ~has(1.0)), 0.0).otherwise(F.round(F.aggregate(kinds, F.lit(0.0), lambda t, x: t + x) / F.size(kinds), 2))
 
-    return tx.bound(F.filter(F.transform(F.split(text, "\n"), lambda x: tx.norm(x)), lambda x: x != ""), score)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: tx.norm(x)), lambda x: x != "")
+    return tx.bound(F.transform(lines, kind), score)
 
 
 def suspicion(rows: DataFrame, table: str, n_cells: str, n_spans: str, text: str) -> DataFrame:

@@ -214,11 +214,11 @@ def section_slices(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("conv_id", "slice").agg(F.min("turn").alias("from_turn"), F.max("turn").alias("to_turn"), F.count("*").alias("n_blocks"))
 
 
-@query("""SELECT user_id, count(*) AS n_history, arg_max(event_type, event_id) AS last_stage, CAST(floor(max(epoch_ms(ts)) - min(epoch_ms(ts))) AS BIGINT) AS total_ms FROM events GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS n_history, arg_max(event_type, event_id) AS last_stage, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS total_ms FROM events GROUP BY user_id""")
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """What a document's event history comes to when it is exported: events, last stage, elapsed time. Map-side sums, no list."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n_history"), F.max_by("event_type", "event_id").alias("last_stage"), (F.max(ms) - F.min(ms)).alias("total_ms"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n_history"), F.max_by("event_type", "event_id").alias("last_stage"), F.floor((F.max(us) - F.min(us)) / 1000).alias("total_ms"))
 
 
 @query("""WITH p AS (SELECT *, p_size % 7 > 0 AS preset, CASE WHEN p_size % 3 = 0 THEN '요구사항' ELSE p_type END AS tab FROM part), n AS (SELECT p_brand, count(*) FILTER (preset) AS n_preset FROM p GROUP BY p_brand), k AS (SELECT p.*, n_preset FROM p JOIN n USING (p_brand) WHERE preset OR n_preset < 70), t AS (SELECT p_brand, count(DISTINCT tab) AS n_tabs FROM k GROUP BY p_brand)

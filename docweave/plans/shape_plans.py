@@ -69,7 +69,11 @@ def capped_drop(spark: SparkSession, sf: str) -> DataFrame:
     return labels.capped_drop(p, F.col("p_size") <= 5).select("p_partkey")
 
 
-@query()
+@query(r"""WITH c AS (SELECT p_brand AS tab, unnest(range(0, 4)) AS col, unnest([CAST(p_partkey AS VARCHAR), p_name, p_type, CAST(p_size AS VARCHAR)]) AS x FROM part),
+s AS (SELECT tab, col, round(least(1.0, avg(length(x)) / 40), 6) AS detail, round(avg(CASE WHEN length(trim(x)) <= 12 AND regexp_matches(trim(x), '^[A-Za-z0-9가-힣]{0,6}[_\-/.]?[0-9]{1,4}$') THEN 1.0 ELSE 0.0 END), 6) AS code FROM c GROUP BY tab, col),
+l AS (SELECT tab, col, 'detail' AS role, detail AS score FROM s UNION ALL SELECT tab, col, 'code', code FROM s), a AS (SELECT tab, arg_max(struct_pack(role := role, col := col), struct_pack(a := score, b := role, c := col)) AS w FROM l WHERE score > 0 GROUP BY tab),
+b AS (SELECT l.tab, arg_max(struct_pack(role := role, col := col), struct_pack(a := score, b := role, c := col)) AS w FROM l JOIN a USING (tab) WHERE score > 0 AND l.role <> a.w.role AND l.col <> a.w.col GROUP BY l.tab)
+SELECT tab, w.role AS role, CAST(w.col AS INTEGER) AS col FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
 def role_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of a grid per brand to roles, by their shapes."""
     p = table(spark, sf, "part")
@@ -106,13 +110,14 @@ def boundary_groups(spark: SparkSession, sf: str) -> DataFrame:
     return tables.boundary_groups(g, "l_orderkey", "l_linenumber", "k").select("l_orderkey", "l_linenumber", F.col("grp").cast("long").alias("grp"))
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, '. ', ':' || chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM conversations),
-c AS (SELECT conv_id, turn, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '(?i)^(?:[①-⑩]|\(?[0-9]+(?:\.[0-9]+)*[).\-]|[가-하][.)]|[ivxlcdm]+[).])[ \t]+') OR contains(x, ':'))) AS a,
- len(list_filter(ls, lambda x: NOT (regexp_matches(x, '(?i)^(?:[①-⑩]|\(?[0-9]+(?:\.[0-9]+)*[).\-]|[가-하][.)]|[ivxlcdm]+[).])[ \t]+') OR contains(x, ':')) AND (length(replace(x, ' ', '')) >= 35 OR regexp_matches(x, '[.?!]$')))) AS s FROM l)
-SELECT conv_id, turn, CASE WHEN n < 2 OR (s > 0 AND a = 0) THEN 0.0 ELSE round(CAST((a + (n - a - s) * 0.5) / n AS DOUBLE), 2) END AS score FROM c""")
+@query(rf"""WITH l AS (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(replace(replace(text, '. ', chr(10) || '- '), ', ', ':' || chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> '')) AS x FROM conversations),
+k AS (SELECT conv_id, turn, CASE WHEN regexp_matches(x, '{tables.LABEL}') OR regexp_matches(x, '[:：]') OR (regexp_matches(x, '{tables.BULLETED}') AND (length(replace(x, ' ', '')) <= 14 OR (length(replace(x, ' ', '')) <= 24 AND NOT regexp_matches(replace(x, ' ', ''), '{tables.DUTY}')))) THEN 1.0 WHEN length(replace(x, ' ', '')) >= 35 OR regexp_matches(x, '[.?!]$') THEN 0.0 ELSE 0.5 END AS k FROM l),
+s AS (SELECT conv_id, turn, CASE WHEN count(*) < 2 OR (min(k) = 0 AND max(k) < 1) THEN 0.0 ELSE round(CAST(sum(k) AS DOUBLE) / count(*), 2) END AS score FROM k GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(score, 0.0) AS score FROM (SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL) LEFT JOIN s USING (conv_id, turn)""")
 def fragment_scores(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.replace("text", F.lit(". "), F.lit(":\n"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", tables.continuity(t).alias("score"))
+    """Fragments of the texts, bullets and colons set in."""
+    t = F.replace(F.replace("text", F.lit(". "), F.lit("\n- ")), F.lit(", "), F.lit(":\n"))
+    return table(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", tables.continuity(t).alias("score"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, 1 + count(*) AS w, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS sp, max(l_shipdate) AS d FROM lineitem GROUP BY 1, 2),
@@ -132,11 +137,14 @@ def form_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("user_id", F.col("block").cast("long").alias("block"), "rid", "detail")
 
 
-@query("""SELECT o_orderkey, CASE WHEN n >= 3 THEN a[1] ELSE '' END AS item, CASE WHEN n = 2 THEN a[1] WHEN n >= 3 THEN a[2] ELSE '' END AS requirement, CASE WHEN n = 1 THEN a[1] WHEN n = 2 THEN a[2] ELSE a[3] END AS detail, CASE WHEN n >= 4 THEN a[4] ELSE '' END AS note
-FROM (SELECT o_orderkey, ([o_orderpriority, o_orderstatus, CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)])[1:1 + o_orderkey % 4] AS a, 1 + o_orderkey % 4 AS n FROM orders)""")
+@query("""WITH c AS (SELECT o_orderkey, ([o_orderpriority, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE CAST(o_custkey AS VARCHAR) END, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END, 'x', 'y'])[1:1 + o_orderkey % 6] AS a, 1 + o_orderkey % 6 AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n IN (3, 4) THEN a[1] ELSE '' END AS item, CASE WHEN n = 2 OR n >= 5 THEN a[1] WHEN n >= 3 THEN a[2] ELSE '' END AS requirement, trim(CASE WHEN n = 1 THEN a[1] WHEN n = 2 THEN a[2] WHEN n = 3 THEN a[3] WHEN n = 4 THEN trim(a[3]) || CASE WHEN a[4] <> '' THEN ' / ' || a[4] ELSE '' END
+ ELSE array_to_string(list_filter(a[2:], lambda x: trim(x) <> ''), ' / ') END) AS detail FROM c""")
 def column_rules(spark: SparkSession, sf: str) -> DataFrame:
-    cells = F.slice(F.array("o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")), F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", tables.column_rules(cells).alias("r")).select("o_orderkey", "r.*")
+    """Rows of one to six cells."""
+    key = F.col("o_orderkey")
+    cells = F.array("o_orderpriority", "o_orderstatus", F.when(key % 7 == 0, " ").otherwise(F.col("o_custkey").cast("string")), F.when(key % 5 == 0, "").otherwise(key.cast("string")), F.lit("x"), F.lit("y"))
+    return table(spark, sf, "orders").select("o_orderkey", tables.column_rules(F.slice(cells, F.lit(1), (key % 6 + 1).cast("int"))).alias("r")).select("o_orderkey", "r.*")
 
 
 @query()
@@ -148,16 +156,22 @@ def page_oracle(spark: SparkSession, sf: str) -> DataFrame:
     return states.paged(lines, pages, "doc_id", "seq", "line", "page", "page_text").select("doc_id", "seq", "oracle_page")
 
 
-@query()
+@query(r"""WITH r AS (SELECT conv_id, turn, role AS top, CASE WHEN turn % 3 <> 2 THEN role ELSE '' END AS mid, turn % 2 = 1 AS bullet, length(regexp_replace(text, '[^0-9A-Za-z가-힣]+', '', 'g')) >= 2 AS long FROM conversations),
+v AS (SELECT *, CASE WHEN bullet THEN nullif(mid, '') WHEN long THEN CASE WHEN top <> '' OR mid <> '' THEN mid ELSE '' END END AS label FROM r), l AS (SELECT *, coalesce(last_value(label IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last FROM v)
+SELECT conv_id, turn, CASE WHEN bullet AND last <> '' AND (mid = '' OR mid = last) THEN '' ELSE top END AS top, CASE WHEN bullet AND last <> '' AND (mid = '' OR mid = last) THEN '' ELSE mid END AS mid FROM l""")
 def label_spacing(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.col("turn")
     r = table(spark, sf, "conversations").select("conv_id", "turn", F.lit("tab").alias("tab"), F.col("role").alias("top"), F.when(turn % 3 != 2, F.col("role")).otherwise("").alias("mid"), F.when(turn % 2 == 1, F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text")).alias("detail"))
     return states.spacing(r, "conv_id", "turn", "tab", "top", "mid", "detail").select("conv_id", "turn", "top", "mid")
 
 
-@query()
+@query("""WITH s AS (SELECT item_id, unhex(sha256(text)) AS seed FROM benchmark WHERE text IS NOT NULL), a AS (SELECT item_id, seed, sha256(seed) AS c1 FROM s), c AS (SELECT item_id, lower(c1 || sha256(unhex(c1) || seed)) AS h FROM a),
+b AS (SELECT item_id, list_transform(range(0, 64), lambda i: ((instr('0123456789abcdef', h[2 * i + 1]) - 1) * 16 + instr('0123456789abcdef', h[2 * i + 2]) - 1) / 255.0 - 0.5) AS v FROM c)
+SELECT item_id, unnest(range(0, 64)) AS i, unnest(list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6))) AS x FROM b""")
 def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", embed.hash_embedding("text").alias("vector"))
+    """A vector for every item, number by number."""
+    v = table(spark, sf, "benchmark").filter("text IS NOT NULL").select("item_id", F.posexplode(embed.hash_vector(F.col("text"))).alias("i", "x"))
+    return v.select("item_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query()

@@ -155,6 +155,6 @@ def test_search_top_k_and_hybrid(spark):
 
 def test_quality(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (1, 5), (2, 3)], "g int, n int")
-    assert sorted(tuple(r) for r in quality.numbering_gaps(rows, "g", "n").collect()) == [(1, 3), (1, 4)]
+    assert sorted(tuple(r) for r in quality.numbering_gaps(rows, "g", "n", expand=True).collect()) == [(1, 3), (1, 4)]
     df = spark.createDataFrame([(" ", "x"), (None, "")], "a string, b string")
     assert quality.filled_columns(df, ["a", "b"]) == ["b"]

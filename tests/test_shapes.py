@@ -52,8 +52,28 @@ def test_states():
     assert states.nearest([[1, 3]]) == [1] and states.nearest([[4], [3, 5]]) == [4, 5]
     assert states.settled([None, 2, None, 5, 2, 3, 1], 5) == [2, 2, 2, 2, 2, 3, 3]
     assert states.settled([5, None, 1], 10) == [5, 5, 1] and states.settled([None], 0) == [None]
-    tops, mids, details = ["A", "A", "A", "B"], ["m", "m", "n", "n"], ["- x", "- y", "- z", "- w"]
-    assert states.spaced(["t"] * 4, tops, mids, details) == [("A", "m"), ("", ""), ("A", "n"), ("", "")]
+
+
+def test_spacing(spark):
+    """Only the first bullet of a mid keeps its labels; other rows begin anew, tabs forget, one sign is no row."""
+    rows = [("t", "A", "m", "- x"), ("t", "A", "m", "- y"), ("t", "A", "n", "- z"), ("t", "B", "n", "- w"), ("t", "C", "o", "plain text"), ("t", "C", "o", "- v"), ("t", "C", None, "?"), ("t", "D", "", "1) u"), ("t", "", "", "plain"), ("t", "E", "", "- s"), ("u", "E", "o", "- r"), ("u", "E", "o", "• q")]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "d int, s int, tab string, top string, mid string, detail string")
+    got = [(r["top"], r["mid"]) for r in states.spacing(df, "d", "s", "tab", "top", "mid", "detail").orderBy("s").collect()]
+    assert got == [("A", "m"), ("", ""), ("A", "n"), ("", ""), ("C", "o"), ("", ""), ("C", ""), ("", ""), ("", ""), ("E", ""), ("E", "o"), ("", "")]
+
+
+def test_column_rules(spark):
+    rows = [(["d"],), (["r", "d"],), (["i", "r", "d"],), (["i", "r", "d", "x"],), (["i", "r", "d", " "],), (["r", "a", "", "b", "c"],), (["", " "],), ([],)]
+    got = [r[0] and tuple(r[0]) for r in spark.createDataFrame(rows, "c array<string>").select(tables.column_rules(F.col("c"))).collect()]
+    assert got == [("", "", "d"), ("", "r", "d"), ("i", "r", "d"), ("i", "r", "d / x"), ("i", "r", "d"), ("", "r", "a / b / c"), None, None]
+
+
+def test_spans_and_distinct(spark):
+    from docweave.operators import dedup, html
+
+    assert [html.spanned(x, 1000) for x in ("2", "²", "0", None, "x", "99999", "3 ")] == [2, 1, 1, 1, 1, 1000, 3]
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("", 0)], "k string, s int")
+    assert sorted(tuple(r) for r in dedup.distinct_first(df, ["k"], "s").collect()) == [("a", 1), ("b", 2)]
 
 
 def test_scorer(spark):
@@ -72,8 +92,15 @@ def test_scorer(spark):
 
 
 def test_embedding(spark):
-    a, b = embed.hash_vector("x"), embed.hash_vector("y", 200)
-    assert len(a) == 64 and len(b) == 200 and abs(sum(x * x for x in b) - 1) < 1e-9 and embed.hash_vector("x") == a
+    import hashlib
+
+    t = spark.createDataFrame([("x",), ("é y",), (None,)], "t string")
+    got = [(r[0], r[1]) for r in t.select(embed.hash_vector(F.col("t")), embed.hash_vector(F.col("t"), 200)).collect()]
+    assert got[2] == (None, None) and [len(x) for x in got[1]] == [64, 200] and abs(sum(x * x for x in got[1][1]) - 1) < 1e-9
+    seed = hashlib.sha256(b"x").digest()
+    first = hashlib.sha256(seed).digest()
+    raw = [b / 255 - 0.5 for b in first + hashlib.sha256(first + seed).digest()]
+    assert max(abs(a - b / sum(x * x for x in raw) ** 0.5) for a, b in zip(got[0][0], raw)) < 1e-12
     df = spark.createDataFrame([("A  b", "a b"), ("", "x"), ("abcd", "bcde")], "a string, b string")
     assert [r[0] for r in df.select(embed.sequence_ratio("a", "b")).collect()] == [1.0, 0.0, 0.75]
     assert [r[0] for r in df.select(embed.nfc(F.lit("é"))).limit(1).collect()] == ["é"]
