@@ -1,24 +1,27 @@
 """Quality classifier by co-training.
 
-Two views of a document are judged by separate logistic models: its content (hashed words and word beginnings) and its
-metadata (source, language, length and layout). In each round, each view labels the documents of an unlabelled pool that
-it is most sure of, and these join the training set of the other view. At the end each view is calibrated on labelled
-documents held out from training, and the calibrated log-odds are added (less the prior, which both contain). This is done
-for two marks: low quality, and toxic. All documents are scored.
-
-Models are fitted on the driver on a bounded sample: at most LABELLED labelled and POOL unlabelled documents, those with
-the smallest hashes of their ids; features are made on the executors. Scoring reads all documents and whole texts.
-
-Defined cases: a null or empty text has no words and scores by its metadata; null metadata is a category of its own;
-documents with several label rows take the lowest quality and the highest toxic mark, nulls ignored; without labels of both
-kinds a mark gets probability 0 everywhere, so all is kept; rows are scored one by one, repeated ones alike.
+Two views of a document are judged by separate logistic models: its text (hashed words, word beginnings and the layout),
+and its metadata (source, language and length as the table has them), which never look at each other's features. In each
+round both views score all documents without labels, and each passes the AT_MOST documents of either class that it is most
+sure of to the other view's training set; equal texts count once. At the end each view is calibrated on labelled documents
+held out from training, and the calibrated log-odds are added (less the prior, which both contain). This is done for two
+marks: low quality, and toxic. All documents are scored.
+
+Features of all documents are made once on the executors and written. Models are fitted on the driver, on at most LABELLED
+labelled documents, those with the smallest hashes of their ids, and what the views exchange; both are bounded, and nothing
+else is collected.
+
+Defined cases: a null or empty text has no words and scores by its layout and metadata; null metadata is a category of its
+own, one that no fitted document has says nothing; documents with several label rows take the lowest quality and the
+highest toxic mark, nulls ignored; of labelled rows with one id the one with the smallest text hash is taken; without
+labels of both kinds a mark gets probability 0 everywhere, so all is kept; rows are scored one by one, repeated ones alike.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.decontamination import terms
+from docweave.llm.shared import scratch, staged
 
-LABELLED, POOL = 6000, 3000
+LABELLED = 6000
 BITS = 18
-ROUNDS, SHARE, SURE = 3, 0.1, 0.95
+ROUNDS, SURE = 2, 0.95
+#: Documents of either class that a view passes to the other in a round.
+AT_MOST = 300
 #: Every so many of the labelled documents are held out for calibration.
 HELD_OUT = 5
 #: Least G statistic of a hashed feature against the labels (chance exceeds it once in 100,000).
@@ -39,8 +45,10 @@ LEAST_G = 20.0
 
 UPPER, DIGITS = bytes(range(65, 91)), b"0123456789"
 MARKS = ("low_quality", "toxic")
-N_META = 52
 SHAPES = 12
+WIDTH = 1 << BITS
+#: A gap between buckets that does not fit in 16 bits.
+MORE = 0xFFFF
 
 
 def hashed(word: bytes) -> tuple[int, ...]:
@@ -57,12 +65,26 @@ def content(text: str | None) -> np.ndarray:
     return out
 
 
-def metadata(text: str | None, source: str | None, lang: str | None) -> np.ndarray:
-    """SHAPES numbers of the layout, then indicators of source and language."""
+def packed(buckets: np.ndarray) -> bytes:
+    """Sorted buckets as 16-bit gaps; MORE adds to the gap that follows."""
+    gaps = np.diff(buckets, prepend=0)
+    large = gaps >= MORE
+    if large.any():
+        gaps = np.concatenate([[MORE] * (g // MORE) + [g % MORE] for g in gaps.tolist()]).astype(np.int64)
+    return gaps.astype(np.uint16).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint16)
+    at = np.cumsum(gaps, dtype=np.int64)
+    return at[gaps != MORE]
+
+
+def layout(text: str | None) -> np.ndarray:
+    """SHAPES numbers."""
     data = (text or "").encode()
     n, words = max(1, len(data)), data.split()
-    out = np.zeros(N_META, np.float32)
-    out[:SHAPES] = (
+    return np.array((
         math.log1p(len(text or "")),
         (n - len(data.translate(None, UPPER))) / n,
         (n - len(data.translate(None, DIGITS))) / n,
@@ -75,11 +97,7 @@ def metadata(text: str | None, source: str | None, lang: str | None) -> np.ndarr
         sum(map(bytes.__eq__, words, words[1:])) / max(1, len(words)),
         sum(map(bytes.isupper, words)) / max(1, len(words)),
         (n - len(data.translate(None, b"#*$%&|<>!"))) / max(1, len(words)),
-    )
-    for k, value in enumerate((source, lang)):
-        at = xxhash.xxh32_intdigest(b"-" if value is None else b"+" + str(value).encode(), k) % ((N_META - SHAPES) // 2)
-        out[SHAPES + k * ((N_META - SHAPES) // 2) + at] += 1
-    return out
+    ), np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -103,9 +121,8 @@ class Rows:
 
 
 class Dense:
-    def __init__(self, rows: list[np.ndarray]):
-        self.x = np.array(rows, np.float64).reshape(-1, N_META)
-        self.n = len(self.x)
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x, len(x)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return self.x @ w
@@ -114,7 +131,20 @@ class Dense:
         return self.x.T @ e
 
 
-def logistic(rows: Rows | Dense, y: np.ndarray, width: int, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+class Both:
+    """Sparse buckets, then dense numbers."""
+
+    def __init__(self, rows: Rows, dense: Dense):
+        self.rows, self.dense, self.n = rows, dense, rows.n
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.rows.dot(w) + self.dense.dot(w[WIDTH:])
+
+    def back(self, e: np.ndarray, width: int) -> np.ndarray:
+        return np.concatenate([self.rows.back(e, WIDTH), self.dense.back(e, width - WIDTH)])
+
+
+def logistic(rows: Rows | Dense | Both, y: np.ndarray, width: int, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
     """Weights and intercept, by Adam on all rows at once; both classes weigh the same in sum, up to four times."""
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     weight = np.where(y == 1, min(4.0, 0.5 / share), min(4.0, 0.5 / (1 - share)))
@@ -163,106 +193,196 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 @dataclass(frozen=True)
-class Mark:
-    """A fitted mark: probability = sigmoid(a1 * content + a2 * metadata + b)."""
+class Example:
+    """A document's features; y: 1, 0 or None by mark."""
+
+    words: np.ndarray
+    shape: np.ndarray
+    source: str | None
+    lang: str | None
+    size: float
+    y: dict[str, int | None] = field(default_factory=dict)
 
-    content: np.ndarray | None
-    metadata: np.ndarray
+
+@dataclass(frozen=True)
+class TextModel:
+    words: np.ndarray
+    shape: np.ndarray
     bias: float
 
-    def odds(self, word_sum: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return word_sum + meta @ self.metadata + self.bias
-
-
-def co_train(words: list[np.ndarray], metas: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> Mark:
-    """y: 1, 0, or -1 for the pool. The pool's own labels are never used. Words that do not tell the classes apart have weight 0."""
-    width = 1 << BITS
-    none = Mark(None, np.zeros(N_META), -30.0)
-    known = np.flatnonzero(y >= 0)
-    held, train, pool = known[::HELD_OUT], np.setdiff1d(known, known[::HELD_OUT]), np.flatnonzero(y < 0)
-    if any(len(set(y[x].tolist())) < 2 for x in (held, train)):
-        return none
-    x = np.array(metas, np.float64)
-    mean, sd = x[:, :SHAPES].mean(0), x[:, :SHAPES].std(0) + 1e-6
-    x[:, :SHAPES] = (x[:, :SHAPES] - mean) / sd
-    extra: list[dict[int, int]] = [{}, {}]  # by view: what the other view is sure of
-    for turn in range(rounds + 1):
-        sets = [(np.concatenate([train, np.array(sorted(e), np.int64)]), np.concatenate([y[train], [e[i] for i in sorted(e)]]).astype(float)) for e in extra]
-        use = informative([words[i] for i in sets[0][0]], sets[0][1], width)
-        wc, bc = logistic(Rows([words[i][use[words[i]]] for i in sets[0][0]]), sets[0][1], width, 1e-4, 150, 0.1)
-        wm, bm = logistic(Dense([x[i] for i in sets[1][0]]), sets[1][1], N_META, 1e-3, 300, 0.05)
-        if turn == rounds or not len(pool):
-            break
-        p = [sigmoid(Rows([words[i] for i in pool]).dot(wc) + bc), sigmoid(x[pool] @ wm + bm)]
-        most = max(1, int(SHARE * len(pool)))
-        for view in (0, 1):
-            order = np.argsort(p[view], kind="stable")
-            for label, ends in ((0, order[:most]), (1, order[::-1][:most])):
-                for k in ends.tolist():
-                    if (p[view][k] if label else 1 - p[view][k]) >= SURE:
-                        extra[1 - view].setdefault(int(pool[k]), label)
-    z = [Rows([words[i] for i in held]).dot(wc) + bc, x[held] @ wm + bm]
-    (a1, b1), (a2, b2) = (platt(v, y[held]) for v in z)
-    share = (y[held].sum() + 1) / (len(held) + 2)
-    weights = np.zeros(N_META)
-    weights[:] = a2 * wm
-    weights[:SHAPES] /= sd
-    bias = a1 * bc + b1 + a2 * bm + b2 - math.log(share / (1 - share)) - float((a2 * wm[:SHAPES] * mean / sd).sum())
-    return Mark((a1 * wc).astype(np.float32), weights, bias)
-
-
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, labelled: int, pool: int) -> tuple[list, list, dict]:
-    """Content, metadata and marks of the sampled documents."""
-    order = F.xxhash64(id_col)
-    marks = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    chosen = marks.orderBy(order, id_col).limit(labelled)
-    free = docs.select(id_col).filter(F.col(id_col).isNotNull()).join(marks.select(id_col), id_col, "left_anti").distinct().orderBy(order, id_col).limit(pool)
-    ids = chosen.unionByName(free, allowMissingColumns=True).select(F.col(id_col).alias("sample_id"), "q", "t")
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text, source, lang = (b.column(c).to_pylist() for c in ("text", "source", "lang"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([content(t).tobytes() for t in text], pa.binary()), pa.array([metadata(*x).tobytes() for x in zip(text, source, lang)], pa.binary()), b.column("q"), b.column("t")], ["id", "words", "meta", "q", "t"])
+    def odds(self, words: np.ndarray, shape: np.ndarray) -> float:
+        return float(self.words[words].sum(dtype=np.float64) + shape @ self.shape + self.bias)
+
+
+@dataclass(frozen=True)
+class MetaModel:
+    source: dict[str | None, float]
+    lang: dict[str | None, float]
+    size: float
+    bias: float
 
-    # At most labelled + pool ids are broadcast.
-    few = docs.join(F.broadcast(ids), docs[id_col] == ids.sample_id).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col("q").cast("int").alias("q"), F.col("t").cast("int").alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = {}
-    for r in few.mapInArrow(made, f"id {kind}, words binary, meta binary, q int, t int").collect():
-        rows[(xxhash.xxh64_intdigest(str(r["id"])), str(r["id"]), bytes(r["words"]))] = r  # repeated ids: the last in this order of equal rows
-    rows = [rows[k] for k in sorted(rows)]
-    y = {
-        "low_quality": np.array([-1 if r["q"] is None else int(r["q"] == 0) for r in rows]),
-        "toxic": np.array([-1 if r["t"] is None else int(r["t"] == 1) for r in rows]),
-    }
-    return [np.frombuffer(r["words"], np.int32) for r in rows], [np.frombuffer(r["meta"], np.float32) for r in rows], y
+    def odds(self, source: str | None, lang: str | None, size: float) -> float:
+        return self.source.get(source, 0.0) + self.lang.get(lang, 0.0) + self.size * size + self.bias
 
 
-class Scorer:
-    def __init__(self, marks: dict[str, Mark]):
-        self.marks = marks
+def fit_text(examples: list[Example], y: np.ndarray) -> TextModel:
+    """Words that do not tell the classes apart have weight 0."""
+    words = [e.words for e in examples]
+    use = informative(words, y, WIDTH)
+    x = np.array([e.shape for e in examples], np.float64).reshape(-1, SHAPES)
+    mean, sd = x.mean(0), x.std(0) + 1e-6
+    w, b = logistic(Both(Rows([r[use[r]] for r in words]), Dense((x - mean) / sd)), y, WIDTH + SHAPES, 1e-4, 200, 0.1)
+    shape = w[WIDTH:] / sd
+    return TextModel(w[:WIDTH].astype(np.float32), shape, float(b - shape @ mean))
 
-    def __call__(self, text: str | None, source: str | None, lang: str | None) -> tuple[float, ...]:
-        """Probability of each mark. Buckets that words share count once, as in training."""
-        meta = metadata(text, source, lang).astype(np.float64)
-        buckets = content(text)
-        return tuple(float(sigmoid(np.float64((0.0 if k.content is None else k.content[buckets].sum(dtype=np.float64)) + meta @ k.metadata + k.bias))) for k in (self.marks[m] for m in MARKS))
 
+def fit_metadata(examples: list[Example], y: np.ndarray) -> MetaModel:
+    """A weight for each source and language of the examples, and one for the length."""
+    at: dict[tuple[int, str | None], int] = {}
+    for e in examples:
+        at.setdefault((0, e.source), len(at))
+        at.setdefault((1, e.lang), len(at))
+    rows = Rows([np.array([at[(0, e.source)], at[(1, e.lang)]]) for e in examples])
+    size = np.array([[e.size] for e in examples])
+    mean, sd = size.mean(), size.std() + 1e-6
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", labelled: int = LABELLED, pool: int = POOL) -> dict[str, Mark]:
-    words, metas, y = sample(docs, labels, id_col, text_col, source_col, lang_col, labelled, pool)
-    return {m: co_train(words, metas, y[m]) for m in MARKS}
+    class Mixed(Both):
+        def dot(self, w: np.ndarray) -> np.ndarray:
+            return self.rows.dot(w) + self.dense.dot(w[len(at) :])
 
+        def back(self, e: np.ndarray, width: int) -> np.ndarray:
+            return np.concatenate([self.rows.back(e, len(at)), self.dense.back(e, 1)])
 
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", marks: dict[str, Mark] | None = None) -> DataFrame:
+    w, b = logistic(Mixed(rows, Dense((size - mean) / sd)), y, len(at) + 1, 1e-3, 300, 0.05)
+    slope = float(w[-1] / sd)
+    return MetaModel({k: float(w[i]) for (v, k), i in at.items() if v == 0}, {k: float(w[i]) for (v, k), i in at.items() if v == 1}, slope, float(b - slope * mean))
+
+
+@dataclass(frozen=True)
+class Mark:
+    """A fitted mark: log-odds = a1 * text + a2 * metadata + bias; None: never."""
+
+    text: TextModel | None
+    metadata: MetaModel | None
+    a1: float = 0.0
+    a2: float = 0.0
+    bias: float = -30.0
+
+    def views(self, words: np.ndarray, shape: np.ndarray, source: str | None, lang: str | None, size: float) -> tuple[float, float]:
+        return (-30.0, -30.0) if self.text is None else (self.text.odds(words, shape), self.metadata.odds(source, lang, size))
+
+    def probability(self, *features) -> float:
+        a, b = self.views(*features)
+        return float(sigmoid(np.float64(self.a1 * a + self.a2 * b + self.bias)))
+
+
+def fit_views(examples: list[Example], mark: str, extra: tuple[dict, dict]) -> Mark:
+    """Both views of a mark, calibrated. extra: for each view the examples that the other passed, by key, with their label."""
+    known = [e for e in examples if e.y.get(mark) is not None]
+    held, train = known[::HELD_OUT], [e for i, e in enumerate(known) if i % HELD_OUT]
+    if any(len({e.y[mark] for e in x}) < 2 for x in (held, train)):
+        return Mark(None, None)
+    sets = [(train + [e for e, _ in more.values()], np.array([e.y[mark] for e in train] + [label for _, label in more.values()], float)) for more in extra]
+    text, meta = fit_text(*sets[0]), fit_metadata(*sets[1])
+    y = np.array([e.y[mark] for e in held])
+    (a1, b1), (a2, b2) = (platt(z, y) for z in (np.array([text.odds(e.words, e.shape) for e in held]), np.array([meta.odds(e.source, e.lang, e.size) for e in held])))
+    share = (y.sum() + 1) / (len(y) + 2)
+    return Mark(text, meta, a1, a2, b1 + b2 - math.log(share / (1 - share)))
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, size_col: str) -> DataFrame:
+    """(id, h, words, shape, source, lang, size) of every row."""
+
+    @F.pandas_udf("words binary, shape binary")
+    def features_of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"words": [packed(content(t)) for t in texts], "shape": [layout(t).tobytes() for t in texts]})
+
+    text = F.col(f"`{text_col}`")
+    size = F.log1p(F.coalesce(F.col(f"`{size_col}`").cast("double"), F.lit(0.0))) if size_col in docs.columns else F.lit(0.0)
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), features_of(text).alias("f"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.greatest(size, F.lit(0.0)).alias("size"))
+    return made.select("id", "h", "f.words", "f.shape", "source", "lang", "size")
+
+
+COLUMNS = ("words", "shape", "source", "lang", "size")
+
+
+def read_row(words: bytes, shape: bytes, source: str | None, lang: str | None, size: float) -> tuple:
+    return unpacked(words), np.frombuffer(shape, np.float32), source, lang, size
+
+
+def examples_of(made: DataFrame, ids: DataFrame, more: list[str]) -> list[tuple]:
+    """(Example, *more) for a bounded table of ids, one for each id, in a fixed order."""
+    found = made.join(F.broadcast(ids.withColumnRenamed("id", "of")), F.col("id") == F.col("of")).drop("of")
+    one = found.groupBy("id").agg(F.min_by(F.struct("h", *COLUMNS, *more), "h").alias("r")).select("id", "r.*")
+    rows = sorted(one.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), str(r["id"])))
+    return [(Example(*read_row(*(r[c] for c in COLUMNS))), r["id"], *(r[c] for c in more)) for r in rows]
+
+
+def confident(made: DataFrame, labels: DataFrame, id_col: str, marks: dict[str, Mark]) -> DataFrame:
+    """(id, mark, view, label): of all documents without labels those that a view is most sure of, AT_MOST for each class."""
+    sent = made.sparkSession.sparkContext.broadcast(marks)
+    names = [f"p_{m}_{v}" for m in MARKS for v in (0, 1)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[x for m in MARKS for x in sent.value[m].views(*read_row(*r))] for r in zip(*(b.column(c).to_pylist() for c in COLUMNS))]
+            p = sigmoid(np.array(out, float).reshape(-1, len(names)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), *(pa.array(p[:, k]) for k in range(len(names)))], ["id", "h", *names])
+
+    kind = made.schema["id"].dataType.simpleString()
+    scored = made.filter("id IS NOT NULL").mapInArrow(score, ", ".join([f"id {kind}, h long", *(f"{n} double" for n in names)]))
+    sure = scored.filter((F.greatest(*names) >= SURE) | (F.least(*names) <= 1 - SURE))
+    free = sure.join(labels.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti")
+    free = staged(free.groupBy("h").agg(F.min("id").alias("id"), *(F.max(n).alias(n) for n in names)), "confident")
+    picked = None
+    for m in MARKS:
+        for v in (0, 1):
+            for label in (0, 1):
+                p = F.col(f"p_{m}_{v}") if label else 1 - F.col(f"p_{m}_{v}")
+                top = free.filter(p >= SURE).orderBy(p.desc(), "h").limit(AT_MOST).select("id", F.lit(m).alias("mark"), F.lit(v).alias("view"), F.lit(label).alias("label"))
+                picked = top if picked is None else picked.unionByName(top)
+    return picked
+
+
+def fit_on(made: DataFrame, labels: DataFrame, id_col: str, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, Mark]:
+    """Marks fitted on the features of documents."""
+    with scratch(made.sparkSession):
+        both = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("q"), F.max("toxic").cast("int").alias("t"))
+        chosen = staged(both.orderBy(F.xxhash64("id"), "id").limit(labelled), "labelled")
+        examples = []
+        for e, _, q, t in examples_of(made, chosen, ["q", "t"]):
+            e.y.update(low_quality=None if q is None else int(q == 0), toxic=None if t is None else int(t == 1))
+            examples.append(e)
+        extra: dict[str, tuple[dict, dict]] = {m: ({}, {}) for m in MARKS}
+        for turn in range(rounds + 1):
+            marks = {m: fit_views(examples, m, extra[m]) for m in MARKS}
+            if turn == rounds or all(k.text is None for k in marks.values()):
+                return marks
+            picked = staged(confident(made, labels, id_col, marks), "picked")
+            taken = {i: e for e, i in examples_of(made, picked.select("id").distinct(), [])}
+            for r in sorted(picked.collect(), key=str):
+                if r["id"] in taken and marks[r["mark"]].text is not None:
+                    extra[r["mark"]][1 - r["view"]].setdefault(r["id"], (taken[r["id"]], r["label"]))
+    raise AssertionError("rounds must not be negative")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, Mark]:
+    with scratch(docs.sparkSession):
+        return fit_on(staged(features(docs, id_col, text_col, source_col, lang_col, size_col), "features"), labels, id_col, labelled, rounds)
+
+
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", marks: dict[str, Mark] | None = None, labelled: int = LABELLED) -> DataFrame:
     """id_col, low_quality, toxic (probabilities) and kept (both under a half) for every row of docs."""
-    fitted = marks if marks is not None else fit(docs, labels, id_col, text_col, source_col, lang_col)
-    sent = docs.sparkSession.sparkContext.broadcast(fitted)
+    made = features(docs, id_col, text_col, source_col, lang_col, size_col)
+    if marks is None:
+        made = staged(made, "features")
+        marks = fit_on(made, labels, id_col, labelled)
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     @F.pandas_udf("low_quality double, toxic double")
-    def scores(texts: pd.Series, sources: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        s = Scorer(sent.value)
-        return pd.DataFrame([s(*x) for x in zip(texts, sources, langs)], columns=list(MARKS), dtype=float)
+    def scores(words: pd.Series, shape: pd.Series, source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.DataFrame:
+        out = [[sent.value[m].probability(*row) for m in MARKS] for row in (read_row(w, s, None if pd.isna(o) else o, None if pd.isna(g) else g, n) for w, s, o, g, n in zip(words, shape, source, lang, size))]
+        return pd.DataFrame(out, columns=list(MARKS), dtype=float)
 
-    made = docs.select(F.col(id_col), scores(F.col(text_col), F.col(source_col).cast("string"), F.col(lang_col).cast("string")).alias("s"))
-    return made.select(id_col, F.round("s.low_quality", 6).alias("low_quality"), F.round("s.toxic", 6).alias("toxic"), ((F.col("s.low_quality") < 0.5) & (F.col("s.toxic") < 0.5)).alias("kept"))
+    scored = made.select(F.col("id").alias(id_col), scores(*COLUMNS).alias("s"))
+    return scored.select(id_col, F.round("s.low_quality", 6).alias("low_quality"), F.round("s.toxic", 6).alias("toxic"), ((F.col("s.low_quality") < 0.5) & (F.col("s.toxic") < 0.5)).alias("kept"))
