@@ -31,6 +31,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict).alias("kept"), "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy version and rule of op4: documents that the rule fails, and that it alone rejects."""
+    return quality_rules.all_ablations(quality_rules.ledger(read(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -58,7 +63,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_chat_format, op4_quality_rules, op5_mixing, op6_substring_dedup, op7_line_dedup, op8_simhash, op9_html_extract, op10_classifier)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_chat_format, op4_quality_rules, quality_ablations, op5_mixing, op6_substring_dedup, op7_line_dedup, op8_simhash, op9_html_extract, op10_classifier)}
 
 
 OP4_SQL = r"""
@@ -71,15 +76,30 @@ p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([
 m AS (SELECT w.r, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
-  length(t) - length(replace(t, '!', '')) AS n_bangs, coalesce(list_max(list_transform(ws, lambda x: strlen(x))), 0) AS longest_word FROM w LEFT JOIN p USING (r)),
+  length(t) - length(replace(t, '!', '')) AS n_bangs, coalesce(list_max(list_transform(ws, lambda x: strlen(x))), 0) AS longest_word,
+  (length(t) - length(replace(t, 'http://', ''))) // 7 + (length(t) - length(replace(t, 'https://', ''))) // 8 AS n_urls, len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*([-*]|•)'))) AS n_bullet_lines,
+  len(list_filter(ls, lambda x: regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines FROM w LEFT JOIN p USING (r)),
 b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
   + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
-  + CASE WHEN 2 * n_upper_words > n_words THEN 32 ELSE 0 END + CASE WHEN 2 * n_bangs > n_words THEN 64 ELSE 0 END + CASE WHEN longest_word > 2000 THEN 128 ELSE 0 END + CASE WHEN n_words < 5 THEN 256 ELSE 0 END AS fail_bits FROM m)
+  + CASE WHEN 2 * n_upper_words > n_words THEN 32 ELSE 0 END + CASE WHEN 2 * n_bangs > n_words THEN 64 ELSE 0 END + CASE WHEN longest_word > 2000 THEN 128 ELSE 0 END + CASE WHEN n_words < 5 THEN 256 ELSE 0 END
+  + CASE WHEN 5 * n_urls > n_words THEN 512 ELSE 0 END + CASE WHEN n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines THEN 1024 ELSE 0 END + CASE WHEN n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines THEN 2048 ELSE 0 END AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 255 = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
 """
 
 
+ABLATION_SQL = (
+    OP4_SQL[: OP4_SQL.index("SELECT doc_id, CAST(n_words")]
+    + """, p0 AS (SELECT * FROM (VALUES ('base', 0), ('base', 1), ('v1', 0), ('v1', 1), ('v1', 2), ('v1', 3), ('v1', 4), ('v1', 5), ('v1', 6), ('v1', 7),
+  ('v2', 8), ('v2', 1), ('v2', 2), ('v2', 3), ('v2', 4), ('v2', 5), ('v2', 6), ('v2', 7), ('v2', 9), ('v2', 10), ('v2', 11)) AS x(version, i)),
+names AS (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'word_length', 'upper_case', 'exclamations', 'blob', 'no_sentence', 'urls', 'bullets', 'ellipses']) AS rule, unnest(range(0, 12)) AS i),
+whole AS (SELECT version, CAST(sum(1 << CAST(i AS INTEGER)) AS BIGINT) AS mask FROM p0 GROUP BY version)
+SELECT version, rule, count(*) FILTER (fail_bits & (1 << CAST(i AS INTEGER)) <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = 1 << CAST(i AS INTEGER)) AS n_alone
+FROM b, p0 JOIN whole USING (version) JOIN names USING (i) GROUP BY version, rule
+"""
+)
+
+
 OP7_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS k, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
 e AS (SELECT k, unnest(ls) AS l, unnest(range(0, len(ls))) AS pos FROM t),
@@ -104,4 +124,4 @@ SELECT doc_id, kept AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op4_quality_rules": OP4_SQL, "quality_ablations": ABLATION_SQL, "op7_line_dedup": OP7_SQL}
