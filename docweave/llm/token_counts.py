@@ -7,14 +7,18 @@ the tokenizer: of equal scores the piece that starts first wins, and an unknown
 
 The text is prefixed with the word mark, spaces become word marks, and pieces never reach over a word mark to the left or
 over a character that no piece contains; so chunks between those are solved alone and remembered, in a bounded memory per
-worker. The vocabulary file's path is a parameter; its size is checked before it is sent to the executors.
+worker. With split, the default, every word mark begins a chunk, as where a pre-tokenizer splits at each of them; without,
+a run of word marks stays together, so that pieces that are such runs can be chosen ("two  spaces" takes fewer tokens). The
+vocabulary file's path is a parameter; its size is checked before it is sent to the executors.
 
-Defined cases: a null or empty text has 0 tokens and score 0; everything else of the row is ignored.
+Defined cases: a null or empty text has 0 tokens and score 0; a text of any length is counted whole, a chunk of any length
+with some 17 bytes a character; rows are counted one by one, repeated ones alike; everything else of a row is ignored.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -58,7 +62,7 @@ def default_path() -> str:
 
 
 class Counter:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, split: bool = True):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
             if piece:
@@ -71,19 +75,22 @@ class Counter:
         if any(MARK in piece[1:] and piece.strip(MARK) for piece, _ in vocabulary.pieces):
             raise ValueError("a piece reaches over a word mark")
         alone = re.escape("".join(self.lone)) or MARK
-        self.chunks = re.compile(f"{MARK}[^{MARK}{alone}]*|[^{MARK}{alone}]+|[{alone}]")
+        self.chunks = re.compile(f"{MARK}{'' if split else '+'}[^{MARK}{alone}]*|[^{MARK}{alone}]+|[{alone}]")
         self.known: dict[str, tuple[int, float]] = {}
 
     def solve(self, chunk: str) -> tuple[int, float]:
         """(pieces, score) of a chunk's best path."""
         n = len(chunk)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(chunk):
-            ends[end].append(match)
-        best, count, run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        matches = self.automaton.iter(chunk)
+        match = next(matches, None)
+        best, count, run = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1))), bytearray(n + 1)
         for end in range(n):
+            here = []
+            while match and match[0] == end:
+                here.append(match[1])
+                match = next(matches, None)
             score, pieces, lone, unknown = None, 0, False, False
-            for length, s in sorted(ends[end], reverse=True):
+            for length, s in sorted(here, reverse=True):
                 lone = lone or length == 1
                 s += best[end + 1 - length]
                 if score is None or s > score:
@@ -116,30 +123,30 @@ class Counter:
         return tokens, score
 
 
-_ready: dict[int, Counter] = {}
+_ready: dict[tuple[int, bool], Counter] = {}
 
 
-def counter(sent) -> Counter:
+def counter(sent, split: bool) -> Counter:
     """The worker's own automaton for a broadcast vocabulary."""
-    key = hash(sent.value)
+    key = (hash(sent.value), split)
     if key not in _ready:
         _ready.clear()
-        _ready[key] = Counter(sent.value)
+        _ready[key] = Counter(sent.value, split)
     return _ready[key]
 
 
-def count(texts: Iterable[str | None], vocabulary: Vocabulary) -> list[tuple[int, float]]:
-    c = Counter(vocabulary)
+def count(texts: Iterable[str | None], vocabulary: Vocabulary, split: bool = True) -> list[tuple[int, float]]:
+    c = Counter(vocabulary, split)
     return [c(t) for t in texts]
 
 
-def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
     """id_col, n_tokens and score (of the best path) for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(load(path or default_path()))
 
     @F.pandas_udf(COUNTS)
     def counts(texts: pd.Series) -> pd.DataFrame:
-        c = counter(sent)
+        c = counter(sent, split)
         return pd.DataFrame([c(t) for t in texts], columns=["n_tokens", "score"])
 
     return docs.select(F.col(id_col), counts(F.col(text_col)).alias("c")).select(id_col, "c.n_tokens", "c.score")
