@@ -133,12 +133,17 @@ def windows(items: Column, n: int, glue: str = "") -> Column:
     return bound(items, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.concat_ws(glue, *(F.get(a, i + k) for k in range(n)))))
 
 
-def grams(t: Column, n: int) -> Column:
-    """Distinct n-grams of characters; a shorter text is its own gram, an empty one has none."""
-    made = F.array_distinct(windows(F.split(t, ""), n))
+def runs(t: Column, n: int) -> Column:
+    """All n-grams of characters, in one pass; a shorter text is its own gram, an empty one has none."""
+    made = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     return F.when(F.length(t) >= n, made).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 
+def grams(t: Column, n: int) -> Column:
+    """Distinct n-grams."""
+    return F.array_distinct(runs(t, n))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays taken as sets; two empty ones are 0."""
     both = F.size(F.array_intersect(a, b))

@@ -92,12 +92,14 @@ def gap_score(phrase: Column, vocabulary: list[str], query: Column) -> Column:
 def coverage(gold: DataFrame, outputs: DataFrame, gold_id: str, gold_text: str, out_text: str, n: int = 6, least: float = 0.6) -> DataFrame:
     """(gold_id, share, covered): the largest share of a gold item's n-grams (of signatures) that one output has.
 
-    Output grams are kept only if some gold item has them, before they are shuffled.
+    Output grams are kept only if some gold item has them, before they are shuffled. Grams go as hashes of 64 bits; grams of
+    an output are made distinct only after that.
     """
-    g = gold.select(F.col(gold_id).alias("gold"), F.explode(tx.grams(tx.sig(F.col(gold_text)), n)).alias("gram"))
+    hashed = lambda t, make: F.transform(make(t, n), lambda x: F.xxhash64(x))
+    g = gold.select(F.col(gold_id).alias("gold"), F.explode(F.array_distinct(hashed(tx.sig(F.col(gold_text)), tx.runs))).alias("gram"))
     sizes = g.groupBy("gold").agg(F.count("*").alias("n"))
     texts = outputs.select(tx.sig(F.col(out_text)).alias("s")).withColumn("o", F.xxhash64("s"))  # equal outputs are one
-    o = texts.select("o", F.explode(tx.grams(F.col("s"), n)).alias("gram")).join(g.select("gram").distinct(), "gram", "left_semi").distinct()
+    o = texts.select("o", F.explode(hashed(F.col("s"), tx.runs)).alias("gram")).join(g.select("gram").distinct(), "gram", "left_semi").distinct()
     shared = g.join(o, "gram").groupBy("gold", "o").agg(F.count("*").alias("m")).groupBy("gold").agg(F.max("m").alias("m"))
     found = sizes.join(shared, "gold", "left").withColumn("share", F.round(F.coalesce("m", F.lit(0)) / F.col("n"), 6))
     return found.select(F.col("gold").alias(gold_id), "share", (F.col("share") >= least).alias("covered"))
