@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,28 +13,50 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Of each open scratch(), the folders written within.
+_scratch: list[list[str]] = []
+
+
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a folder of our own only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a local master gets a folder of its own; on a cluster it must be set."""
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="docweave-")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="docweave-")
     return _own_dir
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Within scratch() the table goes when that ends, unless keep.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is staged within, once no result depends on it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for at in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

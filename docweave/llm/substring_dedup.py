@@ -1,16 +1,20 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the UTF-8 bytes of a whole text cuts wherever its value is small. A cut depends on the 16 bytes
-before it only, so an insertion shifts text but not the cuts beyond it, and the same passage falls into the same chunks in
-any document. Chunks are compared by a 128-bit digest; the first document (smallest doc_id) with a chunk keeps it, all
-later ones, and repeats within a document, are duplicates. Adjacent duplicate chunks of a document form a span; spans of
-at least MIN_SPAN bytes are reported and can be cut out.
+A gear rolling hash over the UTF-8 bytes of a whole text cuts wherever its value is small. Where it is small depends on
+the 16 bytes before only; a cut is left out within LEAST bytes of the one before and forced after MOST bytes, and that
+state is forgotten at the next cut that both texts take. So an insertion shifts text, but not the cuts a little beyond it,
+and the same passage falls into the same chunks in any document. Chunks are compared by a 128-bit digest; the first
+document (smallest doc_id) with a chunk keeps it, all later ones, and repeats within a document, are duplicates. Adjacent
+duplicate chunks of a document form a span; spans of at least MIN_SPAN bytes are reported and can be cut out.
 
-Digests are counted with map-side aggregation and then joined to the chunks, so a passage in a third of all documents is
-neither gathered in one task nor paired with itself.
+Texts are chunked once, and the chunks written. Digests are counted with map-side aggregation; those found twice are
+written too, and joined to the chunks as two plain exchanges, so that a partition with the digest of a passage in a third
+of all documents is split by the adaptive plan: it is neither gathered in one task nor paired with itself.
 
 Defined cases: null or empty texts have no chunks; rows with the same doc_id are one document for the choice of the first;
-rows without doc_id never keep a chunk that a row with one has, and keep it if there is none; an empty table gives no spans.
+rows without doc_id never keep a chunk that a row with one has, and keep it if there is none; an empty table gives no
+spans; a passage that shares fewer than MIN_SPAN bytes of whole chunks with another document is not reported, nor one in a
+stretch without cuts (a word repeated for hundreds of words) that begins elsewhere in it.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import free_name
+from docweave.llm.shared import free_name, staged
 
 #: Mean bytes between cuts, and bounds of a chunk.
 MEAN, LEAST, MOST = 40, 16, 512
@@ -118,9 +122,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_SPAN) -> DataFrame:
     """(id_col, key, start, end, first_id): duplicate spans in bytes; first_id is the document that keeps the span's first chunk."""
-    all_chunks = chunks(docs, id_col, text_col)
+    all_chunks = staged(chunks(docs, id_col, text_col), "chunks")
     seen = all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("id").alias("first_id")).filter("times > 1").select("h1", "h2", "first_id")
-    found = all_chunks.join(seen, ["h1", "h2"])
+    found = all_chunks.join(staged(seen, "shared_chunks"), ["h1", "h2"])
     later = F.col("again") | F.when(F.col("id").isNull(), F.col("first_id").isNotNull()).otherwise(F.col("id") != F.col("first_id"))
     found = found.filter(later).select("id", "key", "seq", "at", "n", "first_id").distinct()
     row = Window.partitionBy("id", "key").orderBy("seq")
