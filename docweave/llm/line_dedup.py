@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import free_name, staged
+from docweave.llm.shared import free_name, scratch, staged
 
 LEAD = 3
 MIN_WORDS = 3
@@ -38,10 +38,15 @@ SIMILAR = 0.6
 STEPS = (0.4, 0.2, 0.1, 0.05, 0.02, 0.01, 0.0)
 
 
-def masked(line: Column) -> Column:
-    """White space trimmed and single, words with a digit as <*>."""
-    flat = F.when(line.contains("  ") | line.rlike(r"[\x09-\x0D]|^ | $"), F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(flat)
+SPACE = r"[\x20\x09-\x0D]"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
+#: Lines with MIN_WORDS words or more.
+ENOUGH = f"^{SPACE}*+" + f"{NOT_SPACE}++{SPACE}++" * (MIN_WORDS - 1) + NOT_SPACE
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is evaluated once: a plain projection would be merged into all that refer to it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -51,10 +56,13 @@ def text_keys(text: Column) -> list[Column]:
 def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k1, k2, at, m, size, n, line, path): every line with enough words; at counts from 0, n its words, size its bytes."""
     text = F.col(f"`{text_col}`")
-    made = docs.filter(text.isNotNull()).select(*text_keys(text), F.posexplode(F.split(text, "\n")).alias("at", "l"))
-    flat = made.select("k1", "k2", "at", masked(F.col("l")).alias("m")).withColumn("size", F.octet_length("m"))
-    flat = flat.withColumn("n", F.col("size") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= MIN_WORDS)
-    return flat.withColumn("line", F.xxhash64("m")).withColumn("path", F.xxhash64("n", F.substring_index("m", " ", LEAD)))
+    cut = docs.filter(text.isNotNull()).select(*text_keys(text), F.posexplode(F.split(text, "\n")).alias("at", "l")).filter(F.col("l").rlike(ENOUGH))
+    l = F.col("l")  # noqa: E741
+    flat = once(cut, "flat", F.when(l.contains("  ") | l.rlike(r"[\x09-\x0D]|^ | $"), F.trim(F.regexp_replace(l, f"{SPACE}+", " "))).otherwise(l))
+    masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("flat"))
+    words = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
+    counted = once(once(flat, "m", masked), "n", words)
+    return counted.select("k1", "k2", "at", "m", F.octet_length("m").alias("size"), "n", F.xxhash64("m").alias("line"), F.xxhash64("n", F.substring_index("m", " ", LEAD)).alias("path"))
 
 
 def independent(flat: DataFrame, busy: DataFrame, min_docs: int) -> DataFrame:
@@ -103,9 +111,10 @@ def recurring(flat: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(k1, k2, gone): per text, the numbers of the lines to drop."""
-    flat = staged(lines(docs, text_col), "lines")
-    hit = flat.join(recurring(flat, min_docs), "line", "left_semi")
-    return staged(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "dropped")  # as many as the text has lines
+    with scratch(docs.sparkSession):
+        flat = staged(lines(docs, text_col), "lines")
+        hit = flat.join(recurring(flat, min_docs), "line", "left_semi")
+        return staged(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "dropped", keep=True)  # as many as the text has lines
 
 
 def without_recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
