@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.shared import free_name, staged
+from docweave.llm.shared import free_name, scratch, staged
 
 SEED = 42
 #: Hashes whose bits are counted at once.
@@ -165,27 +165,35 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Linked are fingerprints of shingles of 3 words that differ in 2 bits or fewer; with least, texts whose sets of shingles
     of width words have a Jaccard similarity of least or more, exactly. Of rows that are equal in id and text, one stays.
     """
-    key = free_name(docs, "text_key")
+    spark, key = docs.sparkSession, free_name(docs, "text_key")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    row = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key")]
-    if least is None:
-        if width != 3:
-            raise ValueError("fingerprints are of 3 words")
-        prints = staged(docs.select(*row, fingerprints(F.col(text_col)).alias("fp")), "prints")
-        distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "fingerprints")
-        root = components(links(distinct.select("fp")))
-    else:
-        from docweave.llm import near_copies
-
-        prints = docs.select(*row, near_copies.hashed(F.col(text_col), width).alias("hs")).withColumn("fp", F.xxhash64("hs"))
-        prints = staged(prints.withColumn("n", F.size("hs")), "prints")
-        distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "fingerprints")
-        root = near_copies.roots(prints.select(F.col("fp").alias("skey"), "n", "hs"), least)
-    best = distinct.join(root, distinct.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    best = best.select(F.col("least.id").alias("best_id"), F.col("least.key").alias("best_key"))
-    kept = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    text = F.col(f"`{text_col}`")
+    row = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key")]
+    with scratch(spark):
+        if least is None:
+            if width != 3:
+                raise ValueError("fingerprints are of 3 words")
+            prints = staged(docs.select(*row, fingerprints(text).alias("fp")), "prints")
+            distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "fingerprints")
+            root = components(links(distinct.select("fp")))
+        else:
+            from docweave.llm import near_copies
+
+            prints = staged(docs.select(*row, near_copies.sketches(width, least)(text).alias("s")).select("id", "key", "s.*"), "prints")
+            distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least"), F.min("key").alias("key")), "fingerprints")
+
+            def whole(keys: DataFrame) -> DataFrame:
+                """All shingles of one text of each set, from the text again: to keep them all would take more room than the texts."""
+                chosen = distinct.join(keys.select(F.col("skey").alias("fp")), "fp", "left_semi").select(F.col("key").alias("text_key"))
+                texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(chosen, "text_key", "left_semi").dropDuplicates(["text_key"])
+                return texts.select(near_copies.sketches(width, None)("text").alias("s")).select(F.col("s.fp").alias("skey"), "s.n", "s.hs")
+
+            root = near_copies.roots(prints.select(F.col("fp").alias("skey"), "n", "hs"), least, whole=whole)
+        best = distinct.join(root, distinct.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+        best = staged(best.select(F.col("least.id").alias("best_id"), F.col("least.key").alias("best_key")), "best", keep=True)
+        repeats = prints.groupBy("id", "key").count().filter("count > 1").limit(1).count()
+    kept = docs.withColumn(key, F.xxhash64(text))
     kept = kept.join(best, F.col(f"`{id_col}`").eqNullSafe(F.col("best_id")) & (F.col(f"`{key}`") == F.col("best_key")), "left_semi")
-    repeats = prints.groupBy("id", "key").count().filter("count > 1").limit(1).count()
     if repeats:
         kept = kept.dropDuplicates([id_col, key])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

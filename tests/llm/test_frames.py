@@ -1,5 +1,6 @@
 """The operators on small frames: brute force, nulls, ties, repeats, empty tables, clashing names."""
 
+import math
 import random
 import sys
 import os
@@ -53,6 +54,20 @@ def test_ledger_and_policies(spark):
     assert quality_rules.ledger(empty(spark)).count() == 0 and quality_rules.keep(empty(spark)).count() == 0
 
 
+def test_stored_ledger_and_policy_table(spark, tmp_path):
+    df = awkward(spark)
+    book = quality_rules.stored(quality_rules.ledger(df), str(tmp_path / "ledger"))
+    table = spark.createDataFrame([("a", "few_words"), ("a", "few_words"), ("b", "few_words"), ("b", "blob"), ("b", "no such rule"), ("c", "none")], "version string, rule string")
+    got = quality_rules.verdicts(book, table).collect()
+    bits = [r["fail_bits"] for r in book.collect()]
+    want = {"a": quality_rules.mask(["few_words"]), "b": quality_rules.mask(["few_words", "blob"]), "c": 0}
+    assert {v: sorted(r["kept"] for r in got if r["version"] == v) for v in want} == {v: sorted(b & m == 0 for b in bits) for v, m in want.items()}
+    assert quality_rules.verdicts(book, table.limit(0)).count() == 0
+    every = {(r["version"], r["rule"]): (r["n_failed"], r["n_alone"]) for r in quality_rules.all_ablations(book).collect()}
+    for v in quality_rules.POLICIES:
+        assert {r["rule"]: (r["n_failed"], r["n_alone"]) for r in quality_rules.ablations(book, v).collect()} == {r: n for (w, r), n in every.items() if w == v}
+
+
 def brute_components(prints):
     ids = list(prints)
     parent = {i: i for i in ids}
@@ -161,9 +176,40 @@ def test_mixed_rows_follow_the_plan(spark):
 
 
 def test_balanced_solves_the_dual(spark):
-    df = spark.createDataFrame([("a", 1000, 10.0), ("b", 500, 1500.0), ("c", 7, 7.0), ("d", 0, 0.0), ("e", 10**9, 1.0)], "skey string, source_size long, target double")
-    for r in mixing.balanced(df).collect():
-        assert r["rate"] * r["source_size"] == pytest.approx(r["target"], rel=1e-9)
+    """Sources' targets exactly, length groups' shares nearly, and no rates nearer to 1 that do so."""
+    rows = [("a", 1000, 1200.0, 100, 300, 600), ("b", 500, 1500.0, 400, 100, 0), ("c", 70, 20.0, 0, 30, 40), ("d", 0, 0.0, 0, 0, 0), ("e", 10**4, 3000.0, 5000, 4000, 1000)]
+    got = mixing.balanced(spark.createDataFrame(rows, "skey string, source_size long, target double, tokens_0 long, tokens_1 long, tokens_2 long")).collect()
+    rates = {r["skey"]: r["rates"] for r in got}
+    tokens = {r[0]: r[3:] for r in rows}
+    for k, _, target, *t in rows:
+        assert sum(x * n for x, n in zip(rates[k], t)) == pytest.approx(target, rel=1e-6) and max(rates[k]) <= 3
+    assert len({round(x, 6) for x in rates["e"]}) == 3  # not the plain ratio of target and size
+    total, there = sum(r[2] for r in rows), sum(r[1] for r in rows)
+    taken = [sum(rates[k][g] * tokens[k][g] for k in tokens) for g in range(3)]
+    assert all(abs(taken[g] - total * sum(t[g] for t in tokens.values()) / there) < 0.01 * total for g in range(3))
+    entropy = lambda rs: sum(n * (x * math.log(x) - x) for k in rs for x, n in zip(rs[k], tokens[k]) if n and x > 0)
+    best = entropy(rates)
+    for e1, e2 in ((1e-3, 1e-3), (-1e-3, 1e-3), (5e-4, -1e-3), (-1e-3, -5e-4)):  # moves that keep all totals
+        moved = {k: list(v) for k, v in rates.items()}
+        d = [e1 * 500, e2 * 500, -(e1 + e2) * 500]
+        for g in range(3):
+            moved["a"][g] += d[g] / tokens["a"][g]
+            moved["e"][g] -= d[g] / tokens["e"][g]
+        assert entropy(moved) > best - 1e-6
+
+
+def test_repeated_rows_do_not_overshoot(spark):
+    """A thousand equal rows, and a null id: each source near its target, mixed rows as planned."""
+    rows = [(1, " ".join(["w"] * 20), "a")] * 1000 + [(i, " ".join(["w"] * 30), "b") for i in range(2, 800)] + [(None, "w x y", "c")] * 50
+    df = frame(spark, rows).repartition(5)
+    got = mixing.mix(df).collect()
+    want = water({"a": 20000, "b": 23940, "c": 150})
+    for r in (x for x in got if x["doc_id"] == 1):
+        assert r["copies"] in (0, 1, 2, 3)
+    for source, ids in (("a", {1}), ("b", set(range(2, 800))), ("c", {None})):
+        assert abs(sum(r["taken"] for r in got if r["doc_id"] in ids) - want[source]) <= max(0.01 * want[source], 30)
+    assert mixing.mixed(df).count() == sum(r["copies"] for r in got)
+    assert sorted(map(str, mixing.mix(df.repartition(2)).collect())) == sorted(map(str, got))
 
 
 def test_no_python_in_native_plans(spark):
@@ -220,6 +266,38 @@ def test_spans(spark):
     assert cut[0] == texts[0] and cut[50] == texts[50] and cut[51] is None and all(len(cut[i]) < len(texts[i]) - 300 for i in (5, 10, 15, 20, 25))
 
 
+def test_spans_brute_force(spark, sf):
+    """Of documents that repeat 50 words of an earlier one at least 0.95 are found; all that is reported is in another place too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "") for r in docs.collect()}
+    first, want = {}, set()
+    for i in sorted(texts):
+        words = texts[i].split(" ")
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), i) != i:
+                want.add(i)
+    got = substring_dedup.spans(docs).collect()
+    assert len(want & {r["doc_id"] for r in got}) >= 0.95 * len(want)
+    chunked = {i: substring_dedup.chunked(t) for i, t in texts.items()}
+    owner = {}
+    for i in sorted(chunked):
+        for d in chunked[i][1]:
+            owner.setdefault(d, i)
+    expected = set()
+    for i, (ends, digests) in chunked.items():
+        run, seen = None, set()
+        for a, b, d in [*zip([0, *ends], ends, digests), (None, None, None)]:
+            again = d is not None and (owner[d] != i or d in seen)
+            seen.add(d)
+            if again:
+                run = (run[0], b, run[2]) if run else (a, b, owner[d])
+            elif run:
+                if run[1] - run[0] >= substring_dedup.MIN_SPAN:
+                    expected.add((i, *run))
+                run = None
+    assert {(r["doc_id"], r["start"], r["end"], r["first_id"]) for r in got} == expected
+
+
 def test_spans_awkward(spark):
     df = awkward(spark)
     got = substring_dedup.spans(df).collect()
@@ -247,6 +325,21 @@ def test_decontamination(spark):
     assert decontamination.clean(awk, bench(spark)).columns == awk.columns and decontamination.clean(awk, bench(spark)).count() == 10
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    """Also with a text under many ids, a repeated row, and an item longer than a shard."""
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"w{rng.randrange(200)}" for _ in range(n)) + ". so " + " ".join(f"a{rng.randrange(50)}" for _ in range(4))
+    items = [(i, text(rng.randrange(6, 30))) for i in range(40)]
+    items += [(100 + i, items[0][1]) for i in range(30)] + [items[1]] + [(200, text(90)), (201, None), (202, "...")]
+    rows = [(i, text(40) + " " + x[1] + " " + text(40), "s") for i, x in enumerate(items[:44]) if x[1]]
+    rows += [(90 + i, " ".join(w if rng.random() < 0.8 else "z" for w in items[i][1].split()), "s") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(str, decontamination.search(frame(spark, rows), bench, shard_chars=n).collect())) for n in (1000, 3000, 10**9)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 70
+    clean = [sorted(r["doc_id"] for r in decontamination.clean(frame(spark, rows), bench, shard_chars=n).collect()) for n in (1000, 10**9)]
+    assert clean[0] == clean[1]
+
+
 def test_tokens(spark):
     df = awkward(spark)
     got = token_counts.token_counts(df).collect()
@@ -274,7 +367,28 @@ def test_chat_across_partitions(spark):
         assert [(r["new_role"], r["action"], r["n_inserted"], r["rendered"]) for r in rs] == want, c
     assert chat_format.repaired(turns(spark, [])).count() == 0
     twice = chat_format.repaired(turns(spark, [(1, 0, "user", "a"), (1, 0, "user", "a")]).withColumn("part", F.lit(1))).collect()
-    assert sorted(r["action"] for r in twice) == ["keep", "relabel"]  # cheaper than a merge and an empty answer
+    assert sorted(r["action"] for r in twice) == ["keep", "merge+insert"]  # a repeated turn does not become its own answer
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_chat_does_not_depend_on_partitions(spark, monkeypatch, block):
+    """Null roles in tied turns, null turns, and a long conversation of equal turns, over 1, 3 and 13 partitions."""
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    rng = random.Random(14)
+    rows = [(c, rng.choice([0, 1, 2, None]), rng.choice(["user", "assistant", "system", None]), f"x{rng.randrange(3)}") for c in (1, 2, None) for _ in range(30)]
+    rows += [(7, 0, "user", "same")] * 40 + [(7, 1, None, "same")] * 3
+    seen = []
+    for parts in (1, 3, 13):
+        monkeypatch.setattr(chat_format, "PART_CHARS", -(-sum(len(r[3]) for r in rows) // parts))
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = chat_format.repaired(turns(spark, rows)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        seen.append(sorted(map(str, got)))
+        for c in (1, 2, None, 7):
+            assert sorted(r["ordinal"] for r in got if r["conv_id"] == c) == list(range(1, 1 + sum(r[0] == c for r in rows)))
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_html(spark):
@@ -303,6 +417,18 @@ def test_classifier(spark):
     assert classifier.classified(empty(spark), lab).count() == 0
 
 
+def test_classifier_held_out(spark):
+    """Fitted on a part of the labels, right on most of the others; documents with one id many times over are sampled once."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    known, held = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    again = docs.unionByName(docs.filter("doc_id < 10")).unionByName(docs.filter("doc_id < 10"))
+    got = classifier.classified(again, known).dropDuplicates(["doc_id"]).join(held, "doc_id").collect()
+    good = [r["kept"] for r in got if r["quality"] == 1 and r["toxic"] == 0]
+    bad = [r["kept"] for r in got if r["quality"] == 0 or r["toxic"] == 1]
+    assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
     same(queries.queries()[name](spark, sf), duck(sf), queries.oracle_sql()[name])
@@ -340,8 +466,8 @@ def test_pipeline(spark, sf):
 
 def eval_rule(values):
     """The rules of policy v2."""
-    n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper_words, n_bangs, longest_word = values
-    return (n_words < 5, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > 3 * n_words, n_lines >= 4 and 2 * n_dup_lines > n_lines, word_chars < 2 * n_words or word_chars > 20 * n_words, 2 * n_upper_words > n_words, 2 * n_bangs > n_words, longest_word > 2000)
+    n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper_words, n_bangs, longest_word, n_urls, n_bullets, n_ellipses = values
+    return (n_words < 5, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > 3 * n_words, n_lines >= 4 and 2 * n_dup_lines > n_lines, word_chars < 2 * n_words or word_chars > 20 * n_words, 2 * n_upper_words > n_words, 2 * n_bangs > n_words, longest_word > 2000, 5 * n_urls > n_words, n_lines >= 4 and 10 * n_bullets > 9 * n_lines, n_lines >= 4 and 10 * n_ellipses > 3 * n_lines)
 
 
 def test_policies_are_masks(spark):

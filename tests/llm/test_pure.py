@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -22,8 +24,9 @@ def test_repeat_words_brute_force():
 
 def test_measure():
     m = dict(zip(quality_rules.MEASURES.names, quality_rules.measure("É A#b!\n\nx\nx y\nx\n \nx")))
-    assert m == {"n_words": 6, "word_chars": 1 + 4 + 1 + 3 + 1 + 1, "n_symbols": 1, "n_lines": 5, "n_dup_lines": 2, "n_repeat_words": 0, "n_upper_words": 0, "n_bangs": 1, "longest_word": 4}
-    assert quality_rules.measure(None) == quality_rules.measure("") == (0,) * 9
+    assert m == {"n_words": 6, "word_chars": 1 + 4 + 1 + 3 + 1 + 1, "n_symbols": 1, "n_lines": 5, "n_dup_lines": 2, "n_repeat_words": 0, "n_upper_words": 0, "n_bangs": 1, "longest_word": 4, "n_urls": 0, "n_bullet_lines": 0, "n_ellipsis_lines": 0}
+    assert quality_rules.measure(None) == quality_rules.measure("") == (0,) * 12
+    assert quality_rules.measure("- a\n * b...\n\u2022 c\u2026 \nhttps://x http://y")[-3:] == (2, 3, 2)
     assert quality_rules.mask(["few_words", "symbols"]) == 5
 
 
@@ -47,29 +50,31 @@ def test_fingerprint_brute_force():
     assert simhash.fingerprint(None) == 0
 
 
-def test_unigram_counts_match_the_library():
+@pytest.mark.parametrize("split", [True, False])
+def test_unigram_counts_match_the_library(split):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     v = token_counts.load(token_counts.default_path())
     unk = [p for p, _ in v.pieces].index("<unk>")
     t = Tokenizer(models.Unigram(list(v.pieces), unk, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=True)
-    texts = ["Hello world", "", " a  b\n\nc\td", "é漢字\U0001f600 x", "▁x y", "aaaaaaaaaaaaaaaaaaaa", "Die Übergänge der Menschheit.", "<0x41><s> a", "\n", "x\n y"]
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=split)
+    texts = ["Hello world", "", " a  b\n\nc\td", "é漢字\U0001f600 x", "▁x y", "aaaaaaaaaaaaaaaaaaaa", "Die Übergänge der Menschheit.", "<0x41><s> a", "\n", "x\n y", "    indented code", "hello    world"]
     texts += ["".join(RNG.choice("abc é\n▁字.") for _ in range(60)) for _ in range(200)]
-    got = token_counts.count(texts, v)
+    got = token_counts.count(texts, v, split)
     assert [n for n, _ in got] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
     assert token_counts.count([None], v) == [(0, 0.0)]
 
 
-def test_unigram_ties_match_the_library():
+@pytest.mark.parametrize("split", [True, False])
+def test_unigram_ties_match_the_library(split):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     pieces = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁a", -3.0), ("bb", -1.0)] + [(f"<0x{i:02X}>", -9.0) for i in range(256)]
     t = Tokenizer(models.Unigram(pieces, 0, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=split)
     v = token_counts.Vocabulary(tuple(pieces), True)
     texts = ["".join(RNG.choice("abc ") for _ in range(RNG.randrange(1, 12))) for _ in range(800)]
-    assert [n for n, _ in token_counts.count(texts, v)] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [n for n, _ in token_counts.count(texts, v, split)] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
 def best_repair(roles):
@@ -99,7 +104,7 @@ def best_repair(roles):
 def test_role_repair_brute_force():
     for n in range(1, 5):
         for roles in itertools.product(range(4), repeat=n):
-            cost, turns = chat_format.path(list(roles))
+            cost, _, turns = chat_format.path(list(roles))
             assert cost == pytest.approx(best_repair(roles)) and len(turns) == n
 
 
@@ -120,14 +125,22 @@ def test_rendering_is_legal():
         assert legal(text) and all(f"t{i}" in text for i in range(len(turns)))
 
 
-def test_borders_give_the_whole_cost():
-    for _ in range(200):
+def test_borders_give_the_whole_path():
+    """Cut anywhere, the scans over the borders lead to the same path as the whole conversation, ties included."""
+    for _ in range(300):
         roles = [RNG.randrange(4) for _ in range(RNG.randrange(2, 14))]
         cuts = sorted(RNG.sample(range(1, len(roles)), min(len(roles) - 1, RNG.randrange(1, 4))))
         parts = [roles[a:b] for a, b in zip([0, *cuts], [*cuts, len(roles)])]
-        known = chat_format.borders([(k, 7, chat_format.product(p)) for k, p in enumerate(parts)])
-        total = sum(chat_format.path(p, *known[(k, 7)])[0] for k, p in enumerate(parts))
-        assert total == pytest.approx(chat_format.path(roles)[0])
+        state, costs = list(chat_format.FORWARD.start), []
+        for p in parts:
+            costs.append(state[:4])
+            state = chat_format.FORWARD.follow(state, [x for row in chat_format.product(p) for x in row] + [float(len(p))])
+        assert state[4] == len(roles)
+        end, made = list(chat_format.BACKWARD.start), []
+        for p, c in zip(reversed(parts), reversed(costs)):
+            made = chat_format.path(p, c, int(end[0]))[2] + made
+            end = chat_format.BACKWARD.follow(end, [float(x) for x in chat_format.backward(p, c)])
+        assert made == chat_format.path(roles)[2] and int(end[0]) == chat_format.START
 
 
 def test_chunks_cover_and_resist_shifts():
@@ -225,34 +238,75 @@ def test_extract():
     assert html_extract.extract("<body><article><h1>A</h1><p>b") == "A b"
     fitted = html_extract.fitted(html_extract.counted([PAGE] * 3))
     assert html_extract.extract(PAGE, fitted) == html_extract.extract(PAGE)
-    assert all(w < 0 for f, w in fitted.items() if f not in ("word", "inner")) and fitted["word"] > 0
+    assert all(w <= 0 for f, w in fitted.items() if f not in ("word", "inner")) and fitted["word"] > 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One</p><div class='side-by-side'>Two</div><section class='related-work'>Three</section></article>", "One Two Three"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p></article>", "Let x=2 hold"),
+        *((f"<article><p>Before</p><{t}><p>After the tag</p></article>", "Before After the tag") for t in ("object", "svg", "math", "canvas", "select", "noscript")),
+        ("<article><p>foo<img src=x>bar foo<!-- c -->bar foo<script>x</script>bar</p></article>", "foobar foobar foobar"),
+        ("<article><p>One<br>two</p><svg><text>no</text></svg><select><option>no</select></article>", "One two"),
+        ("<body><div><p>" + "first half here " * 20 + "</p><div class='comments'>" + "reader says so " * 60 + "</div><p>" + "second half here " * 20 + "</p></div>", ("first half here " * 20 + "second half here " * 20).strip()),
+        ("<body><header><h1>Site</h1></header><div class='post'><header><h1>The post</h1></header><p>Its long text is here</p></div>", "The post Its long text is here"),
+        ("<body><article><p>Text of it</p><article class='comment'>Nice</article></article><article class='comment'>Too</article>", "Text of it"),
+        ("<body><nav><ul><li>Menu<article><p>Text of it</p></article>", "Text of it"),
+        ("<body><form action=x><input><article><h1>Title</h1><p>Text of it</p></article><input></form>", "Title Text of it"),
+        ("<body><div class='cookie-recipes'><p>Bake the cookies for a while</p></div><div id='cookie-banner'>We use some</div>", "Bake the cookies for a while"),
+        ("<article><p>Seen</p><p style='display: none'>unseen</p><p hidden>unseen</p></article>", "Seen"),
+    ],
+)
+def test_extract_cases(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_extract_with_the_mark_hidden():
+    """Weights of some pages, words of others whose article element is made a plain one: recall and precision of 0.9 at least."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL ORDER BY page_id").fetchall()]
+    weights = html_extract.fitted(html_extract.counted(pages[::2]))
+    right = found = there = 0
+    for page in pages[1::2]:
+        want = Counter(html_extract.extract(page, weights).split())
+        got = Counter(html_extract.extract(re.sub(r"(?i)<(/?)(article|main)(?=[\s>])", r"<\1div", page), weights).split())
+        right, found, there = right + (want & got).total(), found + got.total(), there + want.total()
+    assert right >= 0.9 * there and right >= 0.9 * found
 
 
 def test_best_region_brute_force():
-    weights = {"word": 1.0, "link": -0.5, "boiler": -2.0, "p": -0.7, "/p": -0.7, "div": -1.5, "/div": -1.5}
+    weights = html_extract.PRIORS | {"p": -0.7, "/p": -0.7, "div": -1.5, "/div": -1.5, "<nav": -0.9}
     for _ in range(100):
-        page = "".join(RNG.choice(["a b", "<p>", "</p>", "<div>", "</div>", "<nav>x</nav>", "c "]) for _ in range(12))
-        seq = [(k, v) for k, v, _ in html_extract.tokens(page, None)]
-        score = [weights.get(v, -html_extract.LEAST) if k == "tag" else weights[k] * len(v.split()) for k, v in seq]
-        best = max((sum(score[i:j]) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)), default=0)
+        page = "".join(RNG.choice(["a b", "<p>", "</p>", "<div>", "</div>", "<nav>x y</nav>", "<footer>z</footer>", "c "]) for _ in range(12))
+        seq = html_extract.scored(page, weights, None)
+        score = [x for _, _, x in seq]
+        sums = {(i, j): sum(score[i:j]) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)}
+        best = max(sums.values(), default=0)
         region = html_extract.best_region(page, weights)
-        total = sum(weights.get(v, -html_extract.LEAST) if k == "tag" else weights[k] * len(v.split()) for k, v in region)
-        assert total == pytest.approx(max(0.0, best))
+        same = [total for (i, j), total in sums.items() if [(k, v) for k, v, _ in seq[i:j]] == region]
+        assert max(same, default=0.0) == pytest.approx(max(0.0, best))
 
 
-def test_co_training_learns_both_views():
+def test_views_are_apart_and_learn():
+    """The text view never sees metadata and the other way round; both, calibrated, find most of what was held out."""
     rng = np.random.default_rng(0)
-    words, metas, y = [], [], []
-    for i in range(600):
+    made = []
+    for i in range(900):
         bad = i % 4 == 0
-        text = " ".join(f"w{rng.integers(400)}" for _ in range(60)) + (" awful " if bad else " ")
-        words.append(classifier.content(text))
-        metas.append(classifier.metadata(text + ("!" * 40 if bad else ""), "s", "en"))
-        y.append(-1 if i % 3 == 0 else int(bad))
-    m = classifier.co_train(words, metas, np.array(y))
-    s = classifier.Scorer({"low_quality": m, "toxic": m})
-    got = [classifier.sigmoid(np.float64(m.content[w].sum() + x.astype(float) @ m.metadata + m.bias)) >= 0.5 for w, x in zip(words, metas)]
-    assert np.mean([g == (i % 4 == 0) for i, g in enumerate(got)]) > 0.97
-    assert len(s(None, None, None)) == 2
-    none = classifier.co_train(words, metas, np.full(600, -1))
-    assert none.content is None
+        text = " ".join(f"w{rng.integers(400)}" for _ in range(60)) + (" awful " if bad and rng.random() < 0.8 else " ")
+        source = "spam" if bad and rng.random() < 0.8 else f"s{rng.integers(20)}"
+        made.append(classifier.Example(classifier.content(text), classifier.layout(text), source, "en", 4.0, {"toxic": int(bad)}))
+    mark = classifier.fit_views(made[:600], "toxic", ({}, {}))
+    got = [mark.probability(e.words, e.shape, e.source, e.lang, e.size) >= 0.5 for e in made[600:]]
+    assert np.mean([g == bool(e.y["toxic"]) for g, e in zip(got, made[600:])]) >= 0.93
+    assert set(mark.metadata.source) == {e.source for e in made[:600]}  # a weight for each source
+    assert mark.metadata.source["spam"] > 1 and mark.views(*(getattr(made[0], c) for c in classifier.COLUMNS))[0] == mark.text.odds(made[0].words, made[0].shape)
+    passed = classifier.fit_views([e for e in made[:300]], "toxic", ({i: (e, e.y["toxic"]) for i, e in enumerate(made[300:600])}, {}))
+    assert passed.text.bias != classifier.fit_views(made[:300], "toxic", ({}, {})).text.bias
+
+
+def test_buckets_pack():
+    for rows in ([], [0], [5, 70000, 70001, 262143], [65534, 131069, 196604], [65535, 131070], list(range(1000))):
+        assert classifier.unpacked(classifier.packed(np.array(rows, np.int32))).tolist() == rows
