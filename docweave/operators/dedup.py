@@ -13,18 +13,22 @@ from docweave.functions import text as tx
 _own_dir: str | None = None
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share, read again: cuts lineage for loops."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; where the setting is missing, a local master gets one of its own."""
     global _own_dir
-    spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _own_dir = _own_dir or tempfile.mkdtemp(prefix="docweave-")
-    path = f"{at.rstrip('/')}/loops/{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that all executors share, read again: cuts lineage for loops."""
+    path = f"{shared_folder(df.sparkSession)}/loops/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def distinct_first(df: DataFrame, key: list[Column | str], seq: str) -> DataFrame:

@@ -15,7 +15,7 @@ def latest(log: DataFrame, key: list[str], seq: list[str], values: list[str]) ->
 
 def upsert(old: DataFrame, new: DataFrame, key: str, fallback: str) -> DataFrame:
     """Union in which new rows win by key; rows without a key count by the fallback column. Within a batch the last by fallback wins."""
-    k = F.coalesce(F.when(F.col(key) != "", F.col(key).cast("string")), F.concat(F.lit("#"), F.col(fallback).cast("string")))
+    k = F.coalesce(F.when(F.col(key).cast("string") != "", F.col(key).cast("string")), F.concat(F.lit("#"), F.col(fallback).cast("string")))
     both = old.withColumn("__b", F.lit(0)).unionByName(new.withColumn("__b", F.lit(1))).withColumn("__k", k)
     return latest(both, ["__k"], ["__b", fallback], old.columns).select(*old.columns)
 

@@ -73,7 +73,11 @@ class Walk(HTMLParser):
             if not self.open[-1]:
                 self.open[-1].append([])
             self.open[-1][-1].append([*n, ""])
-        elif not self.open and tag in BLOCKS:
+        elif self.open:
+            self.broken(tag)
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag in BLOCKS:
             self.flush()
             self.tag = tag
 
@@ -82,15 +86,22 @@ class Walk(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "table" and self.open:
             self.open.pop()
+        elif self.open:
+            self.broken(tag)
         elif not self.open and tag in BLOCKS and tag == self.tag:
             self.flush()
 
+    def broken(self, tag: str) -> None:
+        """A line of a cell ends at breaks and blocks."""
+        if (tag in BLOCKS or tag in ("br", "div")) and self.open[-1] and self.open[-1][-1]:
+            self.open[-1][-1][-1][2] += "\n"
+
     def handle_data(self, data: str) -> None:
         if self.skip:
             return
         if self.open:
             if self.open[-1] and self.open[-1][-1]:
-                self.open[-1][-1][-1][2] += data
+                self.open[-1][-1][-1][2] += re.sub(r"\s+", " ", data)
         elif self.tag:
             self.parts.append(data)
 
@@ -112,7 +123,7 @@ def dense(cells: list[list[list]]) -> list[list[str]]:
         for down, across, text in row:
             while (r, c) in grid:
                 c += 1
-            value = " ".join(text.split())
+            value = "\n".join(" ".join(x.split()) for x in text.split("\n") if x.strip())
             for i in range(min(down, len(cells) - r)):
                 for j in range(across):
                     grid.setdefault((r + i, c + j), value)
@@ -137,7 +148,7 @@ def blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Da
 
 
 def cells(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, table, row, col, text): all cells of all tables, spans expanded."""
+    """(page_id, table, row, col, text): all cells of all tables, spans expanded; lines of a cell end at breaks and blocks."""
     kind = pages.schema[page_id].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from docweave.plans import contents_plans, dedup_plans, edit_plans, html_plans, join_plans, level_plans, order_plans, quality_plans, report_plans, rule_plans, search_plans, shape_plans, text_plans  # noqa: F401
+    from docweave.plans import contents_plans, dedup_plans, edit_plans, html_plans, join_plans, level_plans, order_plans, quality_plans, report_plans, rule_plans, search_plans, shape_plans, store_plans, text_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
