@@ -68,18 +68,23 @@ def shingle_pairs(df: DataFrame, key: str, block: str, shingles: Column, least:
     """(block, a, b, similarity): pairs with a Jaccard of at least `least`, by prefix filtering.
 
     Of n shingles in a fixed order, rarest first, two sets that similar share one among the first n - ceil(least n) + 1;
-    only those are joined, then the whole sets are compared. Texts that are equal are one representative (see members).
+    only those are joined, and what two texts share of these, with the places, bounds how far the whole sets can agree; the
+    few pairs left are compared as whole sets. shingles are hashes; texts that are equal are one representative.
     """
     sets = df.select(F.col(key).alias("id"), F.col(block).alias("block"), F.array_distinct(shingles).alias("s")).filter(F.size("s") > 0)
-    each = sets.select("id", "block", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
+    each = sets.select("id", "block", F.size("s").alias("n"), F.explode("s").alias("h"))
     often = each.groupBy("block", "h").agg(F.count("*").alias("df"))
     shared = often.filter("df > 1")
     ranked = each.join(often, ["block", "h"]).groupBy("block", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     kept = F.slice("hs", 1, F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1)
-    prefix = ranked.select("block", "id", "n", F.explode(kept).alias("p")).select("block", "id", "n", F.col("p.h").alias("h")).join(shared.select("block", "h"), ["block", "h"], "left_semi")
+    prefix = ranked.select("block", "id", "n", F.posexplode(kept).alias("i", "p")).select("block", "id", "n", "i", F.col("p.h").alias("h")).join(shared.select("block", "h"), ["block", "h"], "left_semi")
     x, y = prefix.alias("x"), prefix.alias("y")
     cand = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9))
-    cand = cand.select(F.col("x.block").alias("block"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = cand.groupBy(F.col("x.block").alias("block"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("m"), *(F.max(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in "ni"))
+    # Up to where the first of the two beginnings ends, all that is shared is known; the rest of it is a difference.
+    room = [F.col(f"{s}n") - (F.col("xn") + F.col("yn")) * F.lit(least / (1 + least)) + 1e-6 + F.col("m") for s in "xy"]
+    ends = [F.col(f"{s}n") - F.ceil(F.col(f"{s}n") * F.lit(least) - 1e-9) + 1 for s in "xy"]
+    cand = met.filter(((ends[0] <= room[0]) & (F.col("yi") + 1 <= room[1])) | ((F.col("xi") + 1 <= room[0]) & (ends[1] <= room[1]))).select("block", "a", "b")
     hs = ranked.select("id", F.transform("hs", lambda x: x["h"]).alias("hs"))
     full = cand.join(hs.withColumnRenamed("hs", "ha"), F.col("a") == F.col("id")).drop("id").join(hs.withColumnRenamed("hs", "hb"), F.col("b") == F.col("id")).drop("id")
     return full.withColumn("similarity", F.round(tx.jaccard(F.col("ha"), F.col("hb")), 6)).filter(F.col("similarity") >= least).select("block", "a", "b", "similarity")

@@ -43,9 +43,10 @@ def representatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fives(ws: str):
-    """Runs of five words; a shorter text is one run, an empty one has none."""
+    """Hashes of the runs of five words; a shorter text is one run, an empty one has none."""
+    runs = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 5), lambda i: F.xxhash64(*(F.get(a, i + k) for k in range(5))))
     w = F.col(ws)
-    return F.when(F.size(w) >= 5, tx.windows(w, 5, " ")).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(w) >= 5, tx.bound(w, runs)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
 NEAR_SQL = r"""d AS (SELECT doc_id, lang, ws FROM (SELECT min(doc_id) AS doc_id, lang, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}_]{1,}') AS ws FROM documents GROUP BY lang, text)),
