@@ -184,11 +184,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
             def whole(keys: DataFrame) -> DataFrame:
                 """All shingles of one text of each set, from the text again: to keep them all would take more room than the texts."""
-                chosen = distinct.join(keys.select(F.col("skey").alias("fp")), "fp", "left_semi").select(F.col("key").alias("text_key"))
-                texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(chosen, "text_key", "left_semi").dropDuplicates(["text_key"])
+                wanted = near_copies.small(keys.withColumnRenamed("skey", "fp"))
+                chosen = staged(distinct.join(wanted, "fp", "left_semi").select(F.col("key").alias("text_key")), "text_keys")
+                texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(near_copies.small(chosen), "text_key", "left_semi").dropDuplicates(["text_key"])
                 return texts.select(near_copies.sketches(width, None)("text").alias("s")).select(F.col("s.fp").alias("skey"), "s.n", "s.hs")
 
-            root = near_copies.roots(prints.select(F.col("fp").alias("skey"), "n", "hs"), least, whole=whole)
+            # One row a set, but for rows equal in id and text.
+            first = near_copies.small(distinct.select(F.col("fp").alias("of"), F.col("least.id").alias("of_id"), F.col("least.key").alias("of_key")))
+            once = prints.join(first, (F.col("fp") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
+            root = near_copies.roots(once.select(F.col("fp").alias("skey"), "n", "hs"), least, whole=whole)
         best = distinct.join(root, distinct.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
         best = staged(best.select(F.col("least.id").alias("best_id"), F.col("least.key").alias("best_key")), "best", keep=True)
         repeats = prints.groupBy("id", "key").count().filter("count > 1").limit(1).count()

@@ -64,6 +64,8 @@ def test_hot_passage_and_edits(spark, sf):
     got = sorted(r["doc_id"] for r in stage("simhash")(spark, frame(spark, rows), sf).collect())
     assert got == brute(rows)
     sets = spark.createDataFrame([(i, [int(x) for x in near_copies.shingles(t)]) for i, t in rows if i < 5000], "skey long, hs array<long>").selectExpr("skey", "size(hs) AS n", "hs")
-    for hot in (3, 10**6):  # where the order puts common shingles changes no result
-        apart = {r["node"]: r["root"] for r in near_copies.roots(sets, hot=hot).collect()}
+    begun = sets.selectExpr("skey", "n", "slice(hs, 1, CAST(ceil(1.5 * (n - ceil(n * 0.8D - 1e-9D) + 1)) AS INT)) AS hs")
+    whole = lambda keys: sets.join(keys, "skey", "left_semi")
+    for given, hot, more in ((sets, 10**6, None), (begun, 3, whole)):  # where the order puts common shingles changes no result
+        apart = {r["node"]: r["root"] for r in near_copies.roots(given, hot=hot, whole=more).collect()}
         assert sorted({apart.get(i, i) for i, _ in rows if i < 5000}) == brute([x for x in rows if x[0] < 5000])
