@@ -4,9 +4,12 @@ Of n shingles in one fixed order, two sets that are similar share one among the
 order is by hash, with shingles that many texts begin with last, so that a common passage does not pair the texts that hold
 it. Half as many shingles again are kept of each text, which mostly is enough to leave those out; whole sets are made again
 from the text where it is not. For two texts that meet, the shared shingles of their beginnings and the places of these
-bound how far the whole sets can agree (`promising`); the few pairs that pass are compared as whole sets. First each text
-meets one text of each of its shingles, in some turns, and components are formed; then texts of different components meet
-all others of their shingles. Only components matter, so a large group of near copies is not compared with itself.
+bound how far the whole sets can agree (`promising`); the few pairs that pass are compared as whole sets. SimHash comes
+first: texts whose fingerprints differ in 2 bits or fewer meet at the anchors (`simhash.links`) and are checked, which links
+most copies. Two bits lose many texts that are similar, so then each text meets one text of each of its shingles, in some
+turns; at last texts of different components meet all others of their shingles. Only components matter, so a large group
+of near copies is not compared with itself. Texts of a group that are not similar meet too; there the parity bits of the
+whole sets, which differ in no more bits than the sets do in shingles, rule out most pairs before they become rows.
 
 Defined cases: a text of fewer words than a shingle is one shingle; texts without words, and null, are equal.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.shared import staged
-from docweave.llm.simhash import SEED, components
+from docweave.llm.simhash import SEED, components, links
 
 WIDTH = 5
 LEAST = 0.8
@@ -31,10 +34,12 @@ LEAST = 0.8
 HOT = 200
 #: Beginnings are kept with so many times their shingles.
 SPARE = 1.5
-#: Turns in which a text meets one text of each shingle.
-TURNS = 3
+#: Turns in which a text meets one text of each shingle, after SimHash.
+TURNS = 2
 #: Rows of two numbers that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Numbers of 64 parity bits for each text.
+PARITIES = 4
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,16 +61,35 @@ def shingles(text: str | None, width: int = WIDTH, known: dict[bytes, int] | Non
     return np.unique(out.view(np.int64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """64 * PARITIES bits; each tells whether the hashes that fall to it are odd in number."""
+    places = (hashes.view(np.uint64) >> np.uint64(17)) % np.uint64(64 * PARITIES)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=64 * PARITIES) % 2 == 1, bitorder="little").view(np.int64)
+
+
 def sketches(width: int, least: float | None):
-    """UDF: the set's fingerprint and size, and its first shingles by hash: SPARE times its beginning, or all without least."""
+    """UDF: the set's fingerprint and size, and its first shingles by hash: SPARE times its beginning, or all without least.
+
+    With least also sim, the SimHash fingerprint, and bits, the parities.
+    """
 
-    @F.pandas_udf("fp long, n int, hs array<bigint>")
+    @F.pandas_udf("fp long, n int, hs array<bigint>" + (", sim long, bits array<bigint>" if least is not None else ""))
     def sets(texts: pd.Series) -> pd.DataFrame:
         known: dict[bytes, int] = {}
         found = [shingles(t, width, known) for t in texts]
         ends = [len(h) if least is None else math.ceil(SPARE * (len(h) - math.ceil(len(h) * least - 1e-9) + 1)) for h in found]
         prints = [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64) for h in found]
-        return pd.DataFrame({"fp": prints, "n": [len(h) for h in found], "hs": pd.Series([h[:e] for h, e in zip(found, ends)], dtype=object)})
+        out = pd.DataFrame({"fp": prints, "n": [len(h) for h in found], "hs": pd.Series([h[:e] for h, e in zip(found, ends)], dtype=object)})
+        if least is not None:
+            out["sim"] = np.array([majority(h) for h in found], np.int64)
+            out["bits"] = pd.Series([parities(h) for h in found], dtype=object)
+        return out
 
     return sets
 
@@ -133,6 +157,18 @@ def similar(pairs: DataFrame, whole: Callable[[DataFrame], DataFrame], least: fl
     return both.filter(m >= F.lit(least) * (F.size("ha") + F.size("hb") - m) - 1e-9).select("a", "b")
 
 
+def similar_prints(sims: DataFrame, whole: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Pairs (a, b) of similar sets, found by SimHash, of a table (skey, sim) without repeats.
+
+    The sets of one fingerprint meet their smallest, and the smallest of two linked fingerprints meet.
+    """
+    leads = staged(sims.groupBy("sim").agg(F.min("skey").alias("lead")), "leads")
+    within = sims.join(leads, "sim").filter("skey > lead").select(F.col("lead").alias("a"), F.col("skey").alias("b"))
+    at = lambda c, name: leads.select(F.col("sim").alias(c), F.col("lead").alias(name))
+    across = links(leads.select(F.col("sim").alias("fp"))).toDF("sa", "sb").join(at("sa", "la"), "sa").join(at("sb", "lb"), "sb")
+    return similar(within.union(across.select(F.least("la", "lb"), F.greatest("la", "lb"))), whole, least)
+
+
 def promising(met: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that can be similar, of the rows (a, na, ia, b, nb, ib), one for each shingle that both begin with.
 
@@ -148,11 +184,12 @@ def promising(met: DataFrame, least: float) -> DataFrame:
     return seen.filter(a_first | b_first).select("a", "b")
 
 
-def roots(sets: DataFrame, least: float = LEAST, hot: int = HOT, whole: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def roots(sets: DataFrame, least: float = LEAST, hot: int = HOT, whole: Callable[[DataFrame], DataFrame] | None = None, prints: DataFrame | None = None) -> DataFrame:
     """(node, root) of the texts that are linked to another one.
 
     sets has skey, n and hs (sorted, the beginning is enough), and may repeat rows; whole gives (skey, n, hs) with all of hs,
-    one row for each skey of a table; without it sets has all of hs.
+    one row for each skey of a table; without it sets has all of hs. prints has skey, sim and bits, one row for each skey
+    (see `sketches`); without it SimHash and the parities are left out, which changes no result.
     """
     if whole is None:
         whole = lambda keys: sets.join(keys, "skey", "left_semi").select("skey", "n", "hs").dropDuplicates(["skey"])
@@ -160,7 +197,8 @@ def roots(sets: DataFrame, least: float = LEAST, hot: int = HOT, whole: Callable
     # A text all of whose beginning is shared leads in the first turn: what copies were made of, rather than a changed copy.
     weight = met.groupBy("skey").agg((F.count("*") / F.max("n")).alias("weight"))
     rest = staged(met.join(small(staged(weight, "weights")), "skey").withColumn("class", F.col("skey")), "met")
-    found, edges = None, None
+    edges = None if prints is None else staged(similar_prints(prints.select("skey", "sim"), whole, least), "similar")
+    found = None if edges is None else components(edges)
     for turn in range(TURNS + 1):
         if found is not None:
             classes = found.withColumnRenamed("node", "skey").withColumnRenamed("root", "to")
@@ -177,9 +215,18 @@ def roots(sets: DataFrame, least: float = LEAST, hot: int = HOT, whole: Callable
             rows = rows.filter(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
         else:
             # One side leaves out the largest class of a shingle, so that a group of copies does not meet itself.
+            if prints is not None:
+                left = small(staged(prints.join(small(staged(rest.select("skey").distinct(), "left")), "skey", "left_semi").select("skey", *(F.get("bits", F.lit(k)).alias(f"p{k}") for k in range(PARITIES))), "parities"))
+                rest = rest.join(left, "skey")
             x, y = rest.alias("x"), rest.filter(F.col("class") != F.col("major")).alias("y")
+            # Shingles that only one of two similar sets has are (1 - least) / (1 + least) of their sizes' sum at most.
+            room = (F.col("x.n") + F.col("y.n")) * F.lit((1 - least) / (1 + least)) + 1e-6
+            near = F.abs(F.col("x.i") - F.col("y.i")) + F.abs((F.col("x.n") - F.col("x.i")) - (F.col("y.n") - F.col("y.i"))) <= room
+            if prints is not None:
+                differ = [F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITIES)]
+                near = near & (sum(differ[1:], differ[0]) <= room)
             once = (F.col("x.class") == F.col("x.major")) | (F.col("x.skey") < F.col("y.skey"))
-            rows = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.class") != F.col("y.class")) & once & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9))
+            rows = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.class") != F.col("y.class")) & once & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9) & near)
             swap = F.col("x.skey") < F.col("y.skey")  # the same text on the same side for all shingles of a pair
             pick = lambda c, first: F.when(swap, F.col(f"x.{c}" if first else f"y.{c}")).otherwise(F.col(f"y.{c}" if first else f"x.{c}"))
             rows = rows.select(*(pick(c, first).alias(name) for first, names in ((True, ("a", "na", "ia")), (False, ("b", "nb", "ib"))) for c, name in zip(("skey", "n", "i"), names)))

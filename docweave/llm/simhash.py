@@ -163,7 +163,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without all but one row of each component: the one with the smallest id (null last), then the smallest text hash.
 
     Linked are fingerprints of shingles of 3 words that differ in 2 bits or fewer; with least, texts whose sets of shingles
-    of width words have a Jaccard similarity of least or more, exactly. Of rows that are equal in id and text, one stays.
+    of width words have a Jaccard similarity of least or more, exactly: the fingerprints of these sets give the first links,
+    each checked on the whole sets, and near_copies those that fingerprints within 2 bits lose. Of rows that are equal in id and text, one stays.
     """
     spark, key = docs.sparkSession, free_name(docs, "text_key")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
@@ -180,7 +181,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             from docweave.llm import near_copies
 
             prints = staged(docs.select(*row, near_copies.sketches(width, least)(text).alias("s")).select("id", "key", "s.*"), "prints")
-            distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least"), F.min("key").alias("key")), "fingerprints")
+            distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bits").alias("bits")), "fingerprints")
 
             def whole(keys: DataFrame) -> DataFrame:
                 """All shingles of one text of each set, from the text again: to keep them all would take more room than the texts."""
@@ -192,7 +193,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             # One row a set, but for rows equal in id and text.
             first = near_copies.small(distinct.select(F.col("fp").alias("of"), F.col("least.id").alias("of_id"), F.col("least.key").alias("of_key")))
             once = prints.join(first, (F.col("fp") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
-            root = near_copies.roots(once.select(F.col("fp").alias("skey"), "n", "hs"), least, whole=whole)
+            sims = distinct.filter("n > 0").select(F.col("fp").alias("skey"), "sim", "bits")
+            root = near_copies.roots(once.select(F.col("fp").alias("skey"), "n", "hs"), least, whole=whole, prints=sims)
         best = distinct.join(root, distinct.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
         best = staged(best.select(F.col("least.id").alias("best_id"), F.col("least.key").alias("best_key")), "best", keep=True)
         repeats = prints.groupBy("id", "key").count().filter("count > 1").limit(1).count()

@@ -69,3 +69,66 @@ def test_hot_passage_and_edits(spark, sf):
     for given, hot, more in ((sets, 10**6, None), (begun, 3, whole)):  # where the order puts common shingles changes no result
         apart = {r["node"]: r["root"] for r in near_copies.roots(given, hot=hot, whole=more).collect()}
         assert sorted({apart.get(i, i) for i, _ in rows if i < 5000}) == brute([x for x in rows if x[0] < 5000])
+
+
+def edited(rng, n=260):
+    """Copies of three texts with up to eight words changed: similar, on the border, not similar."""
+    base = [[f"w{rng.randrange(4000)}" for _ in range(120)] for _ in range(3)]
+    rows = []
+    for i in range(n):
+        w = list(base[i % 3])
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_stage_links_by_simhash_first(spark, sf, monkeypatch):
+    rows = edited(random.Random(5))
+    calls, links = [], near_copies.similar_prints
+
+    def seen(sims, whole, least):
+        found = links(sims, whole, least)
+        calls.append({(r["a"], r["b"]) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(near_copies, "similar_prints", seen)
+    got = sorted(r["doc_id"] for r in stage("simhash")(spark, frame(spark, rows), sf).collect())
+    assert got == brute(rows)
+    sets = {near_copies.xxhash.xxh64_intdigest(h.tobytes(), simhash.SEED): h for h in (near_copies.shingles(t) for _, t in rows)}
+    sets = {k - (1 << 64) if k >> 63 else k: h for k, h in sets.items()}
+    sim = {k: near_copies.majority(h) & (1 << 64) - 1 for k, h in sets.items()}
+    assert len(calls) == 1 and calls[0]
+    for a, b in calls[0]:  # within two bits, and similar
+        m = len(set(sets[a]) & set(sets[b]))
+        assert (sim[a] ^ sim[b]).bit_count() <= 2 and m >= 0.8 * (len(sets[a]) + len(sets[b]) - m) - 1e-9
+    leads = {}
+    for k in sorted(sets):
+        leads.setdefault(sim[k], k)
+    must = {tuple(sorted((a, b))) for x, a in leads.items() for y, b in leads.items() if a < b and (x ^ y).bit_count() <= 2}
+    must |= {(leads[sim[k]], k) for k in sets if leads[sim[k]] != k}
+    similar = {(a, b) for a, b in must if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) - 1e-9}
+    assert calls[0] == similar
+
+
+def test_majority_is_simhash():
+    text = " ".join(f"w{i * 37 % 61}" for i in range(80))
+    h = near_copies.shingles(text)
+    ones = [sum(int(x) >> b & 1 for x in h) for b in range(64)]
+    assert near_copies.majority(h) & (1 << 64) - 1 == sum(1 << b for b, n in enumerate(ones) if 2 * n > len(h))
+    assert near_copies.majority(h[:0]) == 0
+
+
+def test_parities_bound_what_sets_differ_in():
+    rng = random.Random(6)
+    sets = [near_copies.shingles(t) for _, t in edited(rng, 60)] + [near_copies.shingles(None), near_copies.shingles("a b")]
+    bits = [near_copies.parities(h).tolist() for h in sets]
+    out = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            differ = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(bits[i], bits[j]))
+            assert differ <= len(set(x) ^ set(y)) and (i != j or differ == 0)
+            m = len(set(x) & set(y))
+            if m < 0.5 * (len(x) + len(y) - m) and i < j < 60:
+                out += differ > (len(x) + len(y)) * 0.2 / 1.8
+    assert out > 900  # nearly all texts of other origin are ruled out
