@@ -21,6 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ HOT = 200
 SPARE = 1.5
 #: Turns in which a text meets one text of each shingle, after SimHash.
 TURNS = 2
-#: Rows of two numbers that are broadcast at most; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Rows of two numbers that are broadcast at most (some 60 bytes each on the driver); beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
+#: Links whose components are formed on the driver at most; beyond, in rounds on the executors.
+DRIVER_LINKS = 100_000
 #: Numbers of 64 parity bits for each text.
 PARITIES = 4
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +172,26 @@ def similar_prints(sims: DataFrame, whole: Callable[[DataFrame], DataFrame], lea
     return similar(within.union(across.select(F.least("la", "lb"), F.greatest("la", "lb"))), whole, least)
 
 
+def linked(edges: DataFrame) -> DataFrame:
+    """(node, root) of the edges (a, b): a few are joined up on the driver, many by `components`."""
+    few = edges.limit(DRIVER_LINKS + 1).toArrow()
+    if few.num_rows > DRIVER_LINKS:
+        return components(edges)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in zip(few["a"].to_pylist(), few["b"].to_pylist()):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    nodes = list(root)
+    made = pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+    return edges.sparkSession.createDataFrame(made)
+
+
 def promising(met: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that can be similar, of the rows (a, na, ia, b, nb, ib), one for each shingle that both begin with.
 
@@ -198,7 +221,7 @@ def roots(sets: DataFrame, least: float = LEAST, hot: int = HOT, whole: Callable
     weight = met.groupBy("skey").agg((F.count("*") / F.max("n")).alias("weight"))
     rest = staged(met.join(small(staged(weight, "weights")), "skey").withColumn("class", F.col("skey")), "met")
     edges = None if prints is None else staged(similar_prints(prints.select("skey", "sim"), whole, least), "similar")
-    found = None if edges is None else components(edges)
+    found = None if edges is None else linked(edges)
     for turn in range(TURNS + 1):
         if found is not None:
             classes = found.withColumnRenamed("node", "skey").withColumnRenamed("root", "to")
@@ -232,5 +255,5 @@ def roots(sets: DataFrame, least: float = LEAST, hot: int = HOT, whole: Callable
             rows = rows.select(*(pick(c, first).alias(name) for first, names in ((True, ("a", "na", "ia")), (False, ("b", "nb", "ib"))) for c, name in zip(("skey", "n", "i"), names)))
         new = staged(similar(promising(rows, least), whole, least), "similar")
         edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
+        found = linked(edges)
     return found

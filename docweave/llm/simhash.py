@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.shared import free_name, scratch, staged
+from docweave.llm.shared import free_name, scratch, staged, swept
 
 SEED = 42
 #: Hashes whose bits are counted at once.
@@ -170,7 +170,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     text = F.col(f"`{text_col}`")
     row = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key")]
-    with scratch(spark):
+    with scratch(spark), swept(spark):
         if least is None:
             if width != 3:
                 raise ValueError("fingerprints are of 3 words")

@@ -132,3 +132,26 @@ def test_parities_bound_what_sets_differ_in():
             if m < 0.5 * (len(x) + len(y) - m) and i < j < 60:
                 out += differ > (len(x) + len(y)) * 0.2 / 1.8
     assert out > 900  # nearly all texts of other origin are ruled out
+
+
+def test_many_links_are_joined_up_on_executors(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(0, 40) if i % 7] + [(100, 3), (100, 30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(tuple(r) for r in simhash.components(df).collect())
+    assert sorted(tuple(r) for r in near_copies.linked(df).collect()) == want
+    monkeypatch.setattr(near_copies, "DRIVER_LINKS", 5)
+    assert sorted(tuple(r) for r in near_copies.linked(df).collect()) == want
+    assert near_copies.linked(df.limit(0)).count() == 0
+
+
+def test_stage_sweeps_its_shuffles(spark, sf, monkeypatch):
+    name, seen, roots = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], near_copies.roots
+
+    def watched(*args, **kw):
+        seen.append(spark.conf.get(name))
+        return roots(*args, **kw)
+
+    monkeypatch.setattr(near_copies, "roots", watched)
+    before = spark.conf.get(name, None)
+    assert stage("simhash")(spark, frame(spark, [(1, "a b c"), (2, "a b c"), (3, None)]), sf).count() == 2
+    assert seen == ["true"] and spark.conf.get(name, None) == before
