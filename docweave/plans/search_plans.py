@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import search
+from docweave.operators import nearest, search
 from docweave.plans.registry import query, table
 
 BM25_SQL = r"""q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark),
@@ -54,7 +54,9 @@ def vector_scores(spark: SparkSession, sf: str, vectors: DataFrame | None = None
 @query(f"""WITH {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc)
 SELECT query, doc, score, CAST(rank AS INTEGER) AS rank, 1 - (1 - score) / 2 AS closeness FROM r WHERE rank <= 5""")
 def cosine_top5(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top_k(vector_scores(spark, sf), "query", "score", "doc", 5).withColumn("closeness", 1 - (1 - F.col("score")) / 2)
+    e = table(spark, sf, "embeddings")
+    top = nearest.cosine_top(e, "vec_id", "embedding", e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+    return top.withColumn("closeness", 1 - (1 - F.col("score")) / 2)
 
 
 @query(f"""WITH {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc WHERE label IN (0, 1, 2))
