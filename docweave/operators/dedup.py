@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions import text as tx
 
+#: ASCII bytes that a signature has not; any run of characters that it has not.
+NOT_ASCII_SIG = bytes(b for b in range(128) if not chr(b).isalnum())
+NOT_SIG = re.compile("[^0-9A-Za-z가-힣]+")
+
 _own_dir: str | None = None
 
 
@@ -31,6 +40,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def signature(text: bytes) -> bytes:
+    """`text.sig` of a text in UTF-8; broken bytes go."""
+    if text.isascii():
+        return text.translate(None, NOT_ASCII_SIG)
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return NOT_SIG.sub("", text.decode(errors="replace")).encode()
+    # Most of what goes is ASCII; a pattern would stop at each run of it.
+    return NOT_SIG.sub("", text.translate(None, NOT_ASCII_SIG).decode()).encode()
+
+
+def signature_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, digest): SHA-256 of each text's signature; rows whose signature is empty, or text null, go. Each text is read once."""
+    kind = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("digest", T.BinaryType())])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = (signature(t.as_py()) if t.is_valid else b"" for t in batch["text"])
+            found = pa.array([hashlib.sha256(s).digest() if s else None for s in sigs], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"], found], names=[id_col, "digest"]).filter(found.is_valid())
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(digests, kind)
+
+
 def distinct_first(df: DataFrame, key: list[Column | str], seq: str) -> DataFrame:
     """The row with the smallest seq of each key; rows with an empty or null key go. Rows equal in key and seq all stay.
 

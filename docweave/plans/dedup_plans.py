@@ -13,9 +13,8 @@ from docweave.plans.registry import query, table
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(text, '[^0-9A-Za-z가-힣]+', '', 'g') ORDER BY doc_id) AS n, regexp_replace(text, '[^0-9A-Za-z가-힣]+', '', 'g') AS s FROM documents) WHERE n = 1 AND s <> ''""")
 def distinct_sig(spark: SparkSession, sf: str) -> DataFrame:
     """First document of each signature; compared by a 256-bit digest, so that texts are not shuffled."""
-    s = tx.sig(F.col("text"))
-    d = table(spark, sf, "documents").select("doc_id", F.when(s != "", F.sha2(s, 256)).alias("digest"))
-    return dedup.distinct_first(d, ["digest"], "doc_id").select("doc_id")
+    d = dedup.signature_digests(table(spark, sf, "documents"), "doc_id", "text")
+    return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("""WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*) AS n_details FROM l WHERE length(trim(x)) >= 10 GROUP BY doc_id""")

@@ -1,10 +1,14 @@
 """Plans that do the whole job where a query with SQL is bound to less."""
 
 import collections
+import hashlib
 import math
 import re
 
-from docweave.operators import search
+from pyspark.sql import functions as F
+
+from docweave.functions import text as tx
+from docweave.operators import dedup, search
 from docweave.plans import registry
 
 
@@ -54,3 +58,21 @@ def test_hybrid_whole_starts_with_the_vector_list(spark, sf):
     best = search.top_k(search.term_cosine(docs, items, "doc_id", "text", "item_id", "text"), "query", "score", "doc", 5)
     want = {(r["query"], r["rank"]): r["doc"] for r in best.collect()}
     assert {(r["item_id"], r["rank"]): r["doc_id"] for r in rows if r["rank"] <= 5} == want
+
+
+def test_signatures_are_made_once_as_text_sig(spark, sf):
+    texts = ["Ab-c 1", None, "", " .,!", "가나 다.라", "é a ü 9 힣\U0001f600x", "\x00A\x7fb_c", "ㄱ각\u3000z", "abc1 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["doc_id"]: r["s"] for r in df.select("doc_id", tx.sig(F.col("text")).alias("s")).collect() if r["s"]}
+    got = {r["doc_id"]: bytes(r["digest"]) for r in dedup.signature_digests(df, "doc_id", "text").collect()}
+    assert got == {i: hashlib.sha256(s.encode()).digest() for i, s in want.items()}
+    assert dedup.signature(b"a\xff.b\xea\xb0") == b"ab"
+    plan = registry.queries()["distinct_sig"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_replace" not in plan
+
+
+def test_distinct_sig_is_one_row_a_signature(spark, tmp_path):
+    rows = [(3, "A b"), (1, "Ab"), (1, "a-b"), (1, "A,b"), (None, "zz"), (7, None), (8, "..")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["doc_id"] for r in registry.queries()["distinct_sig"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == ["1", "1", "None"]
