@@ -107,23 +107,31 @@ def rates_of(tilt: list[float], most: int) -> list[Column]:
     return [F.when((size > 0) & (target > 0), F.least(F.lit(float(most)), F.exp(found + F.lit(t)))).otherwise(F.lit(0.0)) for t in tilt]
 
 
+def exact_sum(value: Column, bits: int) -> Column:
+    """Sum in steps of 2 ** -bits, as whole numbers: doubles would sum differently in another order of the rows."""
+    return F.sum(F.rint(value * F.lit(2.0**bits)).cast("long")) / F.lit(2.0**bits)
+
+
 def balanced(sources: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS, close: float = 1e-9) -> DataFrame:
     """Adds rates (one for each length group) to (source_size, target, tokens_0, ...): Newton on the concentrated dual.
 
     With w the tilted tokens of a source's groups that are under the cap, its part of the Hessian is
-    diag(w) - w w' / sum(w); the gradient is what the groups take less what they should.
+    diag(w) - w w' / sum(w); the gradient is what the groups take less what they should. No sum is over most times all
+    tokens, so steps as fine as 62 bits allow are used, and the rates don't depend on the order of the rows.
     """
     tokens = [f"tokens_{g}" for g in range(GROUPS)]
-    total = sources.agg(F.sum("target").alias("target"), *(F.sum(c).alias(c) for c in tokens)).first()
-    there = sum(total[c] or 0 for c in tokens)
+    held = sources.agg(*(F.sum(c).alias(c) for c in tokens)).first()
+    there = sum(held[c] or 0 for c in tokens)
+    bits = 60 - math.ceil(math.log2(most * there + 1))
+    total = held.asDict() | {"target": sources.agg(exact_sum(F.col("target"), bits).alias("target")).first()["target"]}
     goal = [(total["target"] or 0.0) * (total[c] or 0) / max(1, there) for c in tokens]
     tilt, ridge = [0.0] * GROUPS, RIDGE * max(1.0, total["target"] or 0.0)
     for _ in range(steps if there else 0):
         got = sources.select("*", *(r.alias(f"rate_{g}") for g, r in enumerate(rates_of(tilt, most))))
         w = [F.when(F.col(f"rate_{g}") < most * (1 - 1e-9), F.col(f"tokens_{g}") * F.col(f"rate_{g}")).otherwise(F.lit(0.0)) for g in range(GROUPS)]
         whole = reduce(Column.__add__, w)
-        curve = [F.sum(F.when(whole > 0, (w[i] if i == j else F.lit(0.0)) - w[i] * w[j] / whole)).alias(f"h_{i}_{j}") for i in range(GROUPS) for j in range(GROUPS)]
-        row = got.agg(*(F.sum(F.col(f"tokens_{g}") * F.col(f"rate_{g}")).alias(f"g_{g}") for g in range(GROUPS)), *curve).first()
+        curve = [exact_sum(F.when(whole > 0, (w[i] if i == j else F.lit(0.0)) - w[i] * w[j] / whole), bits).alias(f"h_{i}_{j}") for i in range(GROUPS) for j in range(GROUPS)]
+        row = got.agg(*(exact_sum(F.col(f"tokens_{g}") * F.col(f"rate_{g}"), bits).alias(f"g_{g}") for g in range(GROUPS)), *curve).first()
         gradient = [row[f"g_{g}"] - goal[g] + ridge * tilt[g] for g in range(GROUPS)]
         if max(map(abs, gradient)) <= close * max(1.0, total["target"]):
             break
